@@ -1,3 +1,35 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP3 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS raw FROM d),
+n AS (SELECT doc_id, source, t, raw, lower(trim(regexp_replace(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))) AS line, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS nw FROM l),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM n WHERE nw > 0 GROUP BY doc_id),
+h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+f AS (SELECT n.source, n.line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE nw > 0 GROUP BY n.source, n.line, h.docs HAVING count(DISTINCT t) > 5 AND count(DISTINCT t) > 0.05 * h.docs),
+x AS (SELECT n.doc_id, sum(nw) AS gone FROM n JOIN f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source GROUP BY n.doc_id),
+b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(list_aggregate(list_concat(w, ['']), 'string_agg', '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS gone
+  FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN x USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 2 * gone <= n_words AS kept FROM v
+"""
+
+OP7 = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, w[a:a + least(len(w), 10) - 1] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT doc_id, a, n, w[a:a + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM d, (SELECT DISTINCT len(win) AS n FROM iw))),
+m AS (SELECT doc_id, a, n, item_id FROM dw JOIN iw ON dw.win = iw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM m) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS c, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.c, 0) AS BIGINT) AS n_hit, CAST(coalesce(k.c, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(h.c, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_line_quality": OP3, "op7_decontamination": OP7}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismal.llm import bpe, packing, token_files
+from prismal.llm import bpe, decontaminate, line_quality, packing, token_files
 from prismal.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest)
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality.verdicts(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"), "byte", end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op8_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op7_decontamination, op8_packing)}
