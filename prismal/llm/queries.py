@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismal.llm import bpe, decontaminate, line_quality, packing, token_files
+from prismal.llm import bpe, decontaminate, language, line_quality, packing, token_files, toxicity
 from prismal.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,13 +23,28 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = toxicity.train(docs, load(spark, sf_dir, "labels").filter(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    model = language.train(docs.filter(~held_out), bpe.vocabulary("piece_bpe_32k.model"))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"), "byte", end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op7_decontamination, op8_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op6_toxicity, op7_decontamination, op8_packing, op9_language)}
