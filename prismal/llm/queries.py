@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, decontaminate, language, line_quality, packing, token_files, toxicity
+from prismal.llm import bpe, decontaminate, language, line_quality, ngram_join, packing, token_files, toxicity
 from prismal.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,4 +47,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), bpe.vocabulary("byte_bpe_50k.json"), "byte", end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op6_toxicity, op7_decontamination, op8_packing, op9_language)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(load(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join)}
