@@ -11,12 +11,16 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 #: Characters with the Unicode property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of these letters, and of these signs, are whole pieces for either splitter if nothing but the other, white space or the end follows.
+LATIN, SIGNS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "-.,;:!?$#*%&()"
 #: byte: a blank goes with the word after it, other white space stands alone. word: white space is dropped.
 CHUNKS = {
-    "byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
-    "word": re.compile("[^ \\t\\n\\r]+"),
+    "byte": re.compile(f" ?[{LATIN}]+(?![^ \\n{SIGNS}])| ?[{SIGNS}]+(?![^ \\n{LATIN}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+    "word": re.compile(f"[{LATIN}]+(?![^ \\n{SIGNS}])|[{SIGNS}]+(?![^ \\n{LATIN}])|[^ \\t\\n\\r]+"),
 }
 #: Longer chunks are encoded each time, so that the cache's size is bounded in bytes too.
 LONGEST = 48
@@ -25,7 +29,7 @@ LONGEST = 48
 class Encoder:
     """ids of texts as little-endian bytes; width 2 where every id of the vocabulary fits, else 4."""
 
-    def __init__(self, path: str, kind: str, cached: int = 500_000) -> None:
+    def __init__(self, path: str, kind: str, cached: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -33,9 +37,13 @@ class Encoder:
         self.tok.encode_special_tokens = True  # a control token's name inside a text stays ordinary text
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.find = CHUNKS[kind].findall
+        self.kind, self.find = kind, CHUNKS[kind].findall
         self.cached = cached
         self.cache: dict[str, bytes] = {}
+        # of each id: whether its token begins (byte) or ends (word) a word
+        names = {v: k for k, v in self.tok.get_vocab(with_added_tokens=True).items()}
+        mark = (lambda t: t.startswith("Ġ")) if kind == "byte" else (lambda t: t.endswith("</w>"))
+        self.edge = np.array([mark(names.get(i, "")) for i in range(max(names) + 1)])
 
     def pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -43,29 +51,48 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def encode(self, texts: list[str], chars: int = 1_000_000) -> list[bytes]:
+    def words(self, new: list[str]) -> list[bytes] | None:
+        """Of chunks that are one word each: all encoded as one text, and cut where words begin or end."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(new) if self.kind == "byte" else " ".join(new)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        cuts = np.flatnonzero(self.edge[ids])
+        if len(cuts) != len(new):
+            return None
+        cuts = np.append(cuts, len(ids)) if self.kind == "byte" else np.append(0, cuts + 1)
+        if cuts[0] or cuts[-1] != len(ids):
+            return None
+        data, at = ids.tobytes(), (cuts * self.width).tolist()
+        return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    def chunks(self, new: list[str]) -> list[tuple[str, bytes]]:
+        lead = 1 if self.kind == "byte" else 0
+        plain = [x for x in new if x[lead:].isalpha() and x[:lead] in ("", " ")]
+        got = self.words(plain) if len(plain) > 8 else None
+        if got is None:
+            plain, got = [], []
+        done = set(plain)
+        rest = [x for x in new if x not in done]
+        return [*zip(plain, got, strict=True), *((x, self.pack(e.ids)) for x, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True))]
+
+    def encode(self, texts: list[str], chars: int = 2_000_000) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
                 size += len(texts[end])
                 end += 1
-            parts = [self.find(t) for t in texts[at:end]]
-            need = set().union(*parts)
-            new = [x for x in need if x not in self.cache]
-            if len(self.cache) + len(new) > self.cached:
-                self.cache.clear()
-                new = list(need)
-            got = self.cache
-            if any(len(x) > LONGEST for x in new):
-                got = {x: self.cache[x] for x in need if x in self.cache}
-            for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                v = self.pack(e.ids)
-                if len(x) <= LONGEST:
-                    self.cache[x] = v
-                if got is not self.cache:
-                    got[x] = v
-            out += [b"".join(map(got.__getitem__, p)) for p in parts]
+            some = texts[at:end]
+            if self.kind == "word":  # that tokenizer lowers case itself; doing so for A-Z first leaves fewer distinct chunks
+                some = [t.encode().lower().decode() for t in some]
+            parts = [self.find(t) for t in some]
+            cache = self.cache
+            new = list(dict.fromkeys(x for p in parts for x in p if x not in cache))
+            if len(cache) + len(new) > self.cached:
+                cache.clear()
+                new = list(dict.fromkeys(x for p in parts for x in p))
+            cache.update(self.chunks(new))
+            out += [b"".join(map(cache.__getitem__, p)) for p in parts]
+            for x in [x for x in new if len(x) > LONGEST]:
+                del cache[x]
             at = end
         return out
 
