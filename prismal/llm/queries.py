@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, decontaminate, language, line_quality, ngram_join, packing, substring_dedup, token_files, toxicity
+from prismal.llm import bpe, decontaminate, language, line_dedup, line_quality, ngram_join, packing, substring_dedup, token_files, toxicity
 from prismal.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(load(spark, sf_dir, "documents"), size=400).drop("spans")
 
@@ -55,4 +61,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join)}
