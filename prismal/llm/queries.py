@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, decontaminate, language, line_dedup, line_quality, ngram_join, packing, substring_dedup, token_files, toxicity
+from prismal.llm import bpe, decontaminate, html_text, language, line_dedup, line_quality, ngram_join, packing, substring_dedup, token_files, toxicity
 from prismal.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_quality.verdicts(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,4 +65,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_line_quality, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_html_text, op3_line_quality, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join)}
