@@ -203,6 +203,11 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all their columns, that come first in their component (least doc_id; of repeated ids one row)."""
-    found = classes(docs, n, percent).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs, all their columns, that come first in their component (least doc_id). Rows that share an id
+
+    and a text with another become one; a null id is a component of its own.
+    """
+    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(table(found, "firsts"), F.col("doc_id") == F.col("_id"), "left_semi").union(docs.filter("doc_id is null"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
