@@ -31,21 +31,20 @@ from prismal.llm.common import table
 
 GRAM, LIMIT = 32, 1 << 21
 BASE = 0x9E3779B97F4A7C15
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random value of each byte; powers of the base and of its inverse, modulo 2^64."""
-    size = max([LIMIT + 1, *(k for k in _TABLES if k >= n)]) if n <= LIMIT else n
-    if size not in _TABLES:
+    """Random value of each byte; powers of the base and of its inverse, modulo 2^64. One set per worker, grown by doubling."""
+    if not _TABLES or len(_TABLES[0][1]) < n:
         values = np.random.default_rng(5).integers(0, 1 << 64, 256, "u8")
         powers = []
         for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(size, base, "u8")
+            p = np.full(max(LIMIT + 1, 1 << (n - 1).bit_length()), base, "u8")
             p[0] = 1
             powers.append(np.multiply.accumulate(p))
-        _TABLES[size] = (values, *powers)
-    return _TABLES[size]
+        _TABLES[:] = [(values, *powers)]
+    return _TABLES[0]
 
 
 class Rolling:
@@ -168,7 +167,7 @@ def _sort(rows: list[dict], size: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"key": keys[of[alive[cut]]], "s": start[alive[cut]], "e": start[alive[last]] + size})
 
 
-def _sorted_spans(batches: Iterator[pa.RecordBatch], size: int, rows_at_once: int = 4000) -> Iterator[pa.RecordBatch]:
+def _sorted_spans(batches: Iterator[pa.RecordBatch], size: int, rows_at_once: int = 2500) -> Iterator[pa.RecordBatch]:
     """Input in the order of anchors: whole anchors are sorted together."""
     held: list[dict] = []
     for b in batches:
