@@ -57,3 +57,12 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. The quick built-in serves texts that are ASCII throughout."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most n rows, picked by a hash of the key columns. Rows are thinned by the hash first, so that the final ordering reads about n rows however large df is."""
+    total = df.count()
+    h = F.xxhash64(*key)
+    if total > 2 * n:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 1.2 * n / total))
+    return df.orderBy(h, *key).limit(n)

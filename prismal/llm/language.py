@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismal.llm.common import sampled
+
 LETTERS = re.compile(r"[^\W\d_]+").findall
 PART, UNKNOWN = 32, 1e-8
 
@@ -158,7 +160,7 @@ def groups(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
 
 def train(df: DataFrame, vocabulary: str, sample_docs: int = 4000, fit_words: int = 3000) -> Model:
     """Fit on at most sample_docs rows (text, lang), whole texts, picked by a hash of the row."""
-    rows = df.filter("lang is not null and text is not null").orderBy(F.xxhash64("text", "lang"), "text").limit(sample_docs).select("lang", "text")
+    rows = sampled(df.filter("lang is not null").select("lang", "text"), sample_docs, "text", "lang").filter("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismal.llm.common import sampled
 from prismal.llm.language import groups
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -138,7 +139,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, min_docs: int = 3, epochs: int = 8) -> Model:
     """Fit on at most sample_rows rows of labels (doc_id, toxic) and docs (doc_id, text, lang)."""
-    picked = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
+    picked = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    picked = sampled(picked, sample_rows, "doc_id", "toxic")
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")  # sample_rows rows at most
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
