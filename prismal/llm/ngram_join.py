@@ -1,8 +1,9 @@
 """Jaccard self-join on sets of word n-grams, with filters under several global token orders.
 
 A set's prefix under an order holds so many of its first tokens that two sets whose Jaccard similarity reaches the
-threshold share one there, whatever the order is. The first order puts n-grams that repeat inside a part of the input
-last and else follows a 64-bit hash; its prefixes are joined. A pair stands only if the number of shared prefix tokens
+threshold share one there, whatever the order is. The first order puts n-grams first whose cell, in a bitmap over all documents,
+was hit once: they stand in one set only and can't be shared, so a set with enough of them has nothing to join. N-grams that
+repeat inside a part of the input come last; ties follow a 64-bit hash. What is left of the prefixes is joined. A pair stands only if the number of shared prefix tokens
 leaves room for the overlap it needs (length and positional bounds), and if its prefixes under two further orders
 also meet; then the overlap is counted.
 
@@ -58,35 +59,76 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (doc_id, n, node) and of tokens that repeat among the sets of this part (token, count)."""
+SET_ROWS = "doc_id long, n long, node long, token long, count long, slice int, cells binary"
+SLICES = 64
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (doc_id, n, node), of tokens that repeat among the sets of this part (token, count), and of
+
+    the cells that the tokens of this part hit, by slices of the bitmap (steps between sorted cells).
+    """
+    names = [x.split()[0] for x in SET_ROWS.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
     held: list[np.ndarray] = []
     size, seen = 0, set()
 
-    def repeated() -> pa.RecordBatch:
-        token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, "u8"), np.zeros(0, "i8"))
-        token, count = token[count > 1].view("i8"), count[count > 1]
-        none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(count)], ["doc_id", "n", "node", "token", "count"])
+    def batch(length: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(length, t) for k, t in zip(names, kinds, strict=True)], names)
+
+    def gathered() -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate(held) if held else np.zeros(0, "u8")
+        token, count = np.unique(tokens, return_counts=True)
+        again = count > 1
+        yield batch(int(again.sum()), token=pa.array(token[again].view("i8")), count=pa.array(count[again]))
+        cell = np.sort(np.concatenate([token, token[again]]) & np.uint64((1 << bits) - 1)).astype("i8")
+        width = (1 << bits) // SLICES
+        edges = np.searchsorted(cell, np.arange(SLICES + 1) * width)
+        blobs = []
+        for k in range(SLICES):
+            steps = np.diff(cell[edges[k] : edges[k + 1]] - k * width, prepend=0)
+            small = not len(steps) or steps.max() < 1 << 16
+            blobs.append((b"2" if small else b"4") + steps.astype("<u2" if small else "<u4").tobytes())
+        yield batch(SLICES, slice=pa.array(range(SLICES), pa.int32()), cells=pa.array(blobs, pa.binary()))
 
     for b in batches:
         sets = [shingles(t, n) for t in _binary(b.column(1))]
         nodes = [node_of(s) if len(s) else None for s in sets]
-        none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), none, none], ["doc_id", "n", "node", "token", "count"])
+        yield batch(len(sets), doc_id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array(nodes, pa.int64()))
         for s, k in zip(sets, nodes, strict=True):
             if k is not None and k not in seen:
                 seen.add(k)
                 held.append(s)
                 size += len(s)
         if size > flush:
-            yield repeated()
+            yield from gathered()
             held, size, seen = [], 0, set()
-    yield repeated()
+    yield from gathered()
+
 
+def _once(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of slices: per slice a bitmap of the cells that were hit exactly once."""
+    width, now, hits = (1 << bits) // SLICES, None, None
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, late: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(hits == 1).tobytes()], pa.binary())], ["slice", "once"])
+
+    for b in batches:
+        for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if k != now:
+                if now is not None:
+                    yield done()
+                now, hits = k, np.zeros(width, "u1")
+            cell = np.cumsum(np.frombuffer(blob[1:], "<u2" if blob[:1] == b"2" else "<u4").astype("i8"))
+            cell, count = np.unique(cell, return_counts=True)
+            hits[cell] = np.minimum(hits[cell] + np.minimum(count, 2).astype("u1"), 2)
+    if now is not None:
+        yield done()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, late: tuple[np.ndarray, np.ndarray], once: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     token, count = late
+    mask = np.uint64((1 << bits) - 1)
     seen: set[int] = set()
     for b in batches:
         out = []
@@ -95,11 +137,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, late: tup
             if not len(s) or (k := node_of(s)) in seen:
                 continue
             seen.add(k)
-            size = prefix_size(len(s), percent)
+            cell = s & mask
+            alone = (once[(cell >> np.uint64(3)).astype("i8")] >> (np.uint64(7) - (cell & np.uint64(7))).astype("u1")) & 1 == 1
+            skipped = int(alone.sum())
+            size = prefix_size(len(s), percent) - skipped
+            if size <= 0:
+                continue
+            rest = s[~alone]
             if len(token):
-                at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                s = s[np.lexsort((s, np.where(token[at] == s, count[at], 0)))]
-            out.append((s[:size].view("i8"), k, len(s)))
+                at = np.minimum(np.searchsorted(token, rest), len(token) - 1)
+                rest = rest[np.lexsort((rest, np.where(token[at] == rest, count[at], 0)))]
+            out.append((rest[:size].view("i8"), k, len(s), skipped))
         if len(seen) > 200_000:
             seen.clear()
         sizes = [len(x[0]) for x in out]
@@ -108,15 +156,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, late: tup
                 pa.array(np.concatenate([x[0] for x in out]) if out else np.zeros(0, "i8")),
                 pa.array(np.repeat(np.array([x[1] for x in out], "i8"), sizes)),
                 pa.array(np.repeat(np.array([x[2] for x in out], "i4"), sizes)),
-                pa.array(np.concatenate([np.arange(k, dtype="i4") for k in sizes]) if out else np.zeros(0, "i4")),
+                pa.array(np.concatenate([np.arange(x[3], x[3] + k, dtype="i4") for x, k in zip(out, sizes, strict=True)]) if out else np.zeros(0, "i4")),
             ],
             ["token", "node", "n", "pos"],
         )
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the wanted nodes; a text that shares its id with the wanted one, and isn't it, gives none."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in _binary(b.column(1))], pa.binary())], ["node", "s"])
+        sets = [(k, s) for k, s in zip(b.column(0).to_pylist(), (shingles(t, n) for t in _binary(b.column(1))), strict=True) if len(s) and node_of(s) == k]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "s"])
 
 
 def _meet(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -147,45 +197,65 @@ def fits(na: Column, nb: Column, overlap: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (na + nb)
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000_000) -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000_000, bits: int = 28) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of its component).
 
-    demoted: how many of the most repeated tokens come last in the first order; they are broadcast.
+    demoted: how many of the most repeated tokens come last in the first order; they are broadcast. bits: the bitmap has
+    2^bits cells and is broadcast too (32 MB). Both bound memory, not results: with more tokens than cells fewer are known to be alone.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    first = table(rows.mapInArrow(partial(_sets, n=n), "doc_id long, n long, node long, token long, count long"), "sets")
+    first = table(rows.mapInArrow(partial(_sets, n=n, bits=bits), SET_ROWS), "sets")
     own = first.filter("n is not null").select("doc_id", "n", "node")
     often = first.filter("token is not null").groupBy("token").agg(F.sum("count").alias("c")).filter("c >= 4").orderBy(F.desc("c"), "token").limit(demoted).toPandas()
     late = (often["token"].to_numpy("i8").view("u8"), often["c"].to_numpy("i8"))
     order = np.argsort(late[0])
     late_shared = spark.sparkContext.broadcast((late[0][order], late[1][order]))  # demoted * 16 bytes at most
 
+    sliced = first.filter("slice is not null").select("slice", "cells").repartition("slice").sortWithinPartitions("slice")
+    bitmap = np.zeros((1 << bits) // 8, "u1")
+    for r in sliced.mapInArrow(partial(_once, bits=bits), "slice int, once binary").toLocalIterator():  # SLICES rows
+        part = np.frombuffer(r.once, "u1")
+        bitmap[r.slice * len(part) : (r.slice + 1) * len(part)] = part
+    once_shared = spark.sparkContext.broadcast(bitmap)
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _prefixes(batches, n, percent, late_shared.value)
+        return _prefixes(batches, n, percent, late_shared.value, once_shared.value, bits)
 
     prefix = docs.select("text").mapInArrow(prefixes, "token long, node long, n int, pos int")
     w = Window.partitionBy("token")
     ranked = prefix.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high")
-    groups = table(ranked.drop("high").distinct(), "groups")
+    groups = table(ranked.select("token", "node", "n", "pos").distinct(), "groups")
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
         at = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
         ids = at.join(nodes, "node").select("doc_id", F.col("node").alias("want"))
         texts = docs.select("doc_id", "text").join(ids, "doc_id").select("want", "text")
-        # a repeated doc_id may bring another text: the node is computed again and must be the one wanted
         blobs = table(texts.mapInArrow(partial(_blobs, n=n), "node long, s binary").dropDuplicates(["node"]), "blobs")
         both = pairs.join(blobs.select(F.col("node").alias("v"), F.col("s").alias("t")), "v").join(blobs.select(F.col("node").alias("u"), "s"), "u")
         return table(both.select("u", "v", "s", "t").mapInArrow(partial(_verified, percent=percent), "u long, v long"), "links")
 
-    # one try per node: with the representative it shares the most tokens with
-    tries = groups.filter("node <> low").groupBy("node", "low").agg(F.count("*").alias("c"))
-    best = tries.groupBy("node").agg(F.max(F.struct("c", "low")).alias("b")).select(F.col("b.low").alias("u"), F.col("node").alias("v"))
-    links = verify(table(best, "pairs"))
-    first_comp = table(components(links), "components")
+    # a few rounds of one try per node: with the representative, in another component, that it shares the most tokens with,
+    # if those tokens alone can do; all else is left for later
+    comp, links, tried = None, None, None
+    for turn in range(3):
+        placed = groups if comp is None else groups.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        placed = placed.select("token", "node", "n", "pos", F.col("node" if comp is None else "c").alias("c"))
+        chosen = placed.withColumn("r", F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "c")).over(w))
+        apart = chosen.filter("c <> r.c")
+        counted = apart.groupBy("node", F.col("r.node").alias("low")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("r.n").alias("m"), F.max("pos").alias("p"), F.max("r.pos").alias("q"))
+        room = F.col("k") + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1)
+        counted = counted.filter(fits(F.col("n"), F.col("m"), room, percent))
+        best = counted.groupBy("node").agg(F.max(F.struct("k", "low")).alias("b"))
+        pairs = best.select(F.least("b.low", "node").alias("u"), F.greatest("b.low", "node").alias("v")).distinct()
+        pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = verify(pairs)
+        links = found if links is None else links.union(found)
+        comp = table(components(links), "components")
     # pairs of different components that share a prefix token
-    placed = groups.join(first_comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
+    placed = groups.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("token")
     side = table(placed.join(mixed, "token"), "mixed")
     x, y = side.alias("x"), side.alias("y")
@@ -194,7 +264,6 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
     shared = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("k"), F.max("x.n").alias("nu"), F.max("y.n").alias("nv"), F.max("x.pos").alias("pu"), F.max("y.pos").alias("pv"))
     left = F.col("k") + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1)
     pairs = shared.filter(fits(F.col("nu"), F.col("nv"), left, percent)).select("u", "v")
-    tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = verify(table(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"))
     comp = table(components(links.union(more)), "components")
     placed_docs = own.join(comp, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "node")))
