@@ -226,6 +226,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
     w = Window.partitionBy("token")
     ranked = prefix.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high")
     groups = table(ranked.select("token", "node", "n", "pos").distinct(), "groups")
+    for shared in (late_shared, once_shared):  # the groups are written: nothing reads these again
+        shared.destroy()
+    del bitmap
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
