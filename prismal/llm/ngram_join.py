@@ -8,8 +8,9 @@ leaves room for the overlap it needs (length and positional bounds), and if its
 also meet; then the overlap is counted.
 
 Copies of one set are one node. Links serve components: in each group of a shared token, members are first tried
-with one representative, and only pairs that are still in different components are joined after that. So large groups of near
-copies cost a try per member, and yet every pair of different components that the filters leave is verified.
+with one representative, then with several, and only pairs that are still in different components are joined after that, each
+at the first token that both share. So large groups of near copies cost a few tries per member, and yet every pair of different
+components that the filters leave is verified.
 
 Results are those of exact counting (of 64-bit hashes of the n-grams). Defined results: null texts and texts without
 words have an empty set, linked with nothing; fewer words than n are one n-gram; repeated ids and rows are documents of
@@ -61,6 +62,8 @@ def _binary(column: pa.Array) -> list[bytes | None]:
 
 SET_ROWS = "doc_id long, n long, node long, token long, count long, slice int, cells binary"
 SLICES = 64
+#: Representatives of a group in each round of tries, and tokens of a node that rounds with several use.
+REPS, TRY_TOKENS = (1, 8, 32), 6
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -197,6 +200,65 @@ def fits(na: Column, nb: Column, overlap: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (na + nb)
 
 
+def _near(x: str, y: str, percent: int) -> Column:
+    """Length filter, and the positional bound of one shared token."""
+    n, m, p, q = (F.col(f"{a}.{k}") for k in ("n", "pos") for a in (x, y))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & fits(n, m, F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1), percent)
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _best(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """One pair per node: with the representative of a group, in another component, that it shares the most tokens with,
+
+    if those tokens alone can do.
+    """
+    w = Window.partitionBy("token")
+    chosen = placed.withColumn("r", F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "c")).over(w))
+    apart = chosen.filter("c <> r.c")
+    counted = apart.groupBy("node", F.col("r.node").alias("low")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("r.n").alias("m"), F.max("pos").alias("p"), F.max("r.pos").alias("q"))
+    room = F.col("k") + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1)
+    best = counted.filter(fits(F.col("n"), F.col("m"), room, percent)).groupBy("node").agg(F.max(F.struct("k", "low")).alias("b"))
+    return best.select(*_pair("b.low", "node")).distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of tokens that stand in more than one component."""
+    w = Window.partitionBy("token")
+    return placed.withColumn("a", F.min("c").over(w)).withColumn("b", F.max("c").over(w)).filter("a <> b").drop("a", "b")
+
+
+def _several(placed: DataFrame, percent: int, turn: int, reps: int) -> DataFrame:
+    """Pairs of a node with up to reps members of its groups that are in another component. Near copies pick the same
+
+    tokens, those of the least hashes, so a few tokens of each node do.
+    """
+    of_node = Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)))
+    few = table(_mixed(placed).withColumn("i", F.row_number().over(of_node)).filter(F.col("i") <= TRY_TOKENS).drop("i"), "tries")
+    of_token = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    chosen = few.withColumn("i", F.row_number().over(of_token)).filter(F.col("i") <= reps).drop("i")
+    met = few.alias("x").join(chosen.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", percent))
+    return met.select(*_pair("x.node", "y.node")).distinct()
+
+
+def _first_met(mixed: DataFrame, percent: int) -> DataFrame:
+    """Every pair of nodes in different components that shares a prefix token and has room for its overlap, met once: at
+
+    the first token that both prefixes hold.
+    """
+    side = table(mixed, "mixed")
+    own = side.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
+    full = side.join(own.select("node", F.col("own.token").alias("tokens"), F.col("own.pos").alias("places")), "node")
+    both = F.array_intersect("x.tokens", "y.tokens")
+    after = F.least(*(F.col(f"{a}.n") - F.get(f"{a}.places", (F.array_position(f"{a}.tokens", F.element_at(both, -1)) - 1).cast("int")) - 1 for a in ("x", "y")))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    once = F.element_at(both, 1) == F.col("x.token")
+    met = full.alias("x").join(full.alias("y"), apart & _near("x", "y", percent) & once & fits(F.col("x.n"), F.col("y.n"), F.size(both) + after, percent))
+    return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000_000, bits: int = 28) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of its component).
 
@@ -207,8 +269,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
     rows = docs.select("doc_id", "text")
     first = table(rows.mapInArrow(partial(_sets, n=n, bits=bits), SET_ROWS), "sets")
     own = first.filter("n is not null").select("doc_id", "n", "node")
-    often = first.filter("token is not null").groupBy("token").agg(F.sum("count").alias("c")).filter("c >= 4").orderBy(F.desc("c"), "token").limit(demoted).toPandas()
-    late = (often["token"].to_numpy("i8").view("u8"), often["c"].to_numpy("i8"))
+    often = first.filter("token is not null").groupBy("token").agg(F.sum("count").alias("c")).filter("c >= 4").orderBy(F.desc("c"), "token").limit(demoted).toArrow()
+    late = (often["token"].to_numpy().view("u8"), often["c"].to_numpy())
     order = np.argsort(late[0])
     late_shared = spark.sparkContext.broadcast((late[0][order], late[1][order]))  # demoted * 16 bytes at most
 
@@ -239,35 +301,19 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
         both = pairs.join(blobs.select(F.col("node").alias("v"), F.col("s").alias("t")), "v").join(blobs.select(F.col("node").alias("u"), "s"), "u")
         return table(both.select("u", "v", "s", "t").mapInArrow(partial(_verified, percent=percent), "u long, v long"), "links")
 
-    # a few rounds of one try per node: with the representative, in another component, that it shares the most tokens with,
-    # if those tokens alone can do; all else is left for later
+    # rounds of tries that are linear in the members of a group; what they leave in different components is joined after that
     comp, links, tried = None, None, None
-    for turn in range(3):
+    for turn, reps in enumerate(REPS):
         placed = groups if comp is None else groups.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
         placed = placed.select("token", "node", "n", "pos", F.col("node" if comp is None else "c").alias("c"))
-        chosen = placed.withColumn("r", F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "c")).over(w))
-        apart = chosen.filter("c <> r.c")
-        counted = apart.groupBy("node", F.col("r.node").alias("low")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("r.n").alias("m"), F.max("pos").alias("p"), F.max("r.pos").alias("q"))
-        room = F.col("k") + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1)
-        counted = counted.filter(fits(F.col("n"), F.col("m"), room, percent))
-        best = counted.groupBy("node").agg(F.max(F.struct("k", "low")).alias("b"))
-        pairs = best.select(F.least("b.low", "node").alias("u"), F.greatest("b.low", "node").alias("v")).distinct()
+        pairs = (_best if reps == 1 else partial(_several, reps=reps))(placed, percent, turn)
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = verify(pairs)
         links = found if links is None else links.union(found)
         comp = table(components(links), "components")
-    # pairs of different components that share a prefix token
     placed = groups.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("token")
-    side = table(placed.join(mixed, "token"), "mixed")
-    x, y = side.alias("x"), side.alias("y")
-    near = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near)
-    shared = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("k"), F.max("x.n").alias("nu"), F.max("y.n").alias("nv"), F.max("x.pos").alias("pu"), F.max("y.pos").alias("pv"))
-    left = F.col("k") + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1)
-    pairs = shared.filter(fits(F.col("nu"), F.col("nv"), left, percent)).select("u", "v")
-    more = verify(table(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"))
+    more = verify(table(_first_met(_mixed(placed), percent).join(tried, ["u", "v"], "left_anti"), "pairs"))
     comp = table(components(links.union(more)), "components")
     placed_docs = own.join(comp, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = placed_docs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
