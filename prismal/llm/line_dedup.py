@@ -7,9 +7,9 @@ minimum under one rotation of the hash order. Seven bands of three values; lines
 the exact Jaccard similarity of their shingles. Links are joined by distributed union-find (star contraction);
 the line that comes first (document id, text, position) stays, the others are removed.
 
-In a band, members are tried with one representative; those that fail are tried with each other, in full where at
-most `small` are left, else with 16, 64, 256, ... representatives until so few are left. Equal lines are one line from the start. DataFrame
-functions only.
+Lines that meet in a band are tried with one representative of the band, then with eight, as long as they are in another
+component than it; after that every pair that still stands in different components is compared, so no link of a chain is
+left out. Equal lines are one line from the start. DataFrame functions only.
 
 Defined results: null texts stay null; empty texts stay; a text may lose all its lines and is then empty (the row stays);
 repeated rows are later copies and lose their lines; an empty table gives no row; other columns are carried.
@@ -25,6 +25,8 @@ from prismal.llm.components import components
 
 POINTS = 16
 BANDS = ((0, 5, 10), (1, 6, 11), (2, 7, 12), (3, 8, 13), (4, 9, 14), (15, 3, 6), (2, 8, 15))
+#: Representatives of a band in each round of tries.
+REPS = (1, 8)
 BROADCAST_ROWS = 1_000_000
 
 
@@ -72,7 +74,16 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def links(docs: DataFrame, places: DataFrame, width: int, threshold: float, min_chars: int, small: int) -> DataFrame:
+def _mixed(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """bucket, line, c (component) of the buckets whose lines are in more than one component."""
+    if comp is None:
+        return keys.withColumn("c", F.col("line"))
+    w = Window.partitionBy("bucket")
+    placed = keys.join(comp, F.col("line") == F.col("node"), "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
+    return placed.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).filter("low <> high").select("bucket", "line", "c")
+
+
+def links(docs: DataFrame, places: DataFrame, width: int, threshold: float, min_chars: int) -> DataFrame:
     """Verified pairs (u, v) of line hashes that hold the components together; places: line, bands."""
     keys = places.select("line", F.explode("bands").alias("bucket"))
     w = Window.partitionBy("bucket")
@@ -88,29 +99,29 @@ def links(docs: DataFrame, places: DataFrame, width: int, threshold: float, min_
         near = (F.size("su") >= threshold * F.size("sv")) & (F.size("sv") >= threshold * F.size("su"))
         return table(both.filter(near).filter(shared >= threshold * (F.size("su") + F.size("sv") - shared)).select("u", "v"), "links")
 
-    out, chosen = None, 1
-    while True:
-        ranked = table(rest.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("line"))), "ranked")
-        first = ranked.filter(F.col("k") <= chosen).select("bucket", F.col("line").alias("u"), F.col("k").alias("ku"))
-        tried = table(ranked.join(first, "bucket").filter(F.col("ku") < F.col("k")).select("bucket", "u", F.col("line").alias("v"), "k"), "tries")
-        found = verify(tried.select("u", "v").distinct())
-        out = found if out is None else out.union(found)
-        settled = tried.join(found, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("line")).distinct()
-        failed = ranked.filter(F.col("k") > chosen).join(settled, ["bucket", "line"], "left_anti").select("bucket", "line")
-        left = table(failed.withColumn("n", F.count("*").over(w)).filter("n > 1"), "failed")
-        few = left.filter(F.col("n") <= small)
-        pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.line") < F.col("y.line"))).select(F.col("x.line").alias("u"), F.col("y.line").alias("v")).distinct()
-        out = out.union(verify(pairs))
-        rest, chosen = left.filter(F.col("n") > small).select("bucket", "line"), 16 if chosen == 1 else 4 * chosen
-        if rest.isEmpty():
-            return out
-
-
-def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20, small: int = 32) -> DataFrame:
+    # rounds of tries that are linear in the members of a bucket; what they leave in different components is joined after that
+    comp, found, tried = None, None, None
+    for turn, reps in enumerate(REPS):
+        mixed = table(_mixed(rest, comp), "mixed")
+        chosen = mixed.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("line", F.lit(turn)), "line"))).filter(F.col("i") <= reps)
+        met = mixed.alias("x").join(chosen.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")))
+        pairs = met.select(F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")).distinct()
+        pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        new = verify(pairs)
+        found = new if found is None else found.union(new)
+        comp = table(components(found), "components")
+    mixed = table(_mixed(rest, comp), "mixed")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.line") < F.col("y.line")) & (F.col("x.c") != F.col("y.c"))
+    left = mixed.alias("x").join(mixed.alias("y"), apart).select(F.col("x.line").alias("u"), F.col("y.line").alias("v")).distinct()
+    return found.union(verify(table(left.join(tried, ["u", "v"], "left_anti"), "pairs")))
+
+
+def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
     """doc_id, text_key and gone (positions of the lines to remove)."""
     found = _lines(docs, min_chars).select("doc_id", "text_key", "pos", "line", bands(shingles(F.col("norm"), width)).alias("bands"))
     places = table(found, "places")
-    comp = table(components(links(docs, places, width, threshold, min_chars, small)), "line-components")
+    comp = table(components(links(docs, places, width, threshold, min_chars)), "line-components")
     placed = places.join(comp, F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
     first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first")
     here = F.struct("doc_id", "text_key", "pos")
@@ -118,9 +129,9 @@ def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_cha
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def dedup(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20, small: int = 32) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
     """docs with their texts rid of repeated lines; all columns and two more: n_lines, n_removed."""
-    found = table(duplicates(docs, width, threshold, min_chars, small), "gone").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
+    found = table(duplicates(docs, width, threshold, min_chars), "gone").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
