@@ -1,9 +1,8 @@
 """Fuzzy line dedup by MinHash: of each component of near-equal lines in the corpus one line stays.
 
 A line (blanks collapsed, lower case, of `min_chars` characters at least; shorter ones are left alone) is the set of its
-character shingles: `width` characters from each start of a word, and from every eighth character inside a longer one.
-Signature: the circle of 64-bit hashes is cut at 16 points and each point takes the next shingle hash, so every value is a
-minimum under one rotation of the hash order. Seven bands of three values; lines that meet in a band are verified by
+character shingles: `width` characters from every character on. A line of fewer than `width` characters is only equal to itself.
+Signature: minima of the shingle hashes under 16 orders, each given by a multiplication. Seven bands of three values; lines that meet in a band are verified by
 the exact Jaccard similarity of their shingles. Links are joined by distributed union-find (star contraction);
 the line that comes first (document id, text, position) stays, the others are removed.
 
@@ -17,14 +16,18 @@ repeated rows are later copies and lose their lines; an empty table gives no row
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.llm.common import let, table
+from prismal.llm.common import table
 from prismal.llm.components import components
 
-POINTS = 16
+#: Odd numbers under 2^31: multiplied by one of them, modulo 2^32, hashes stand in another order.
+FACTORS = [random.Random(k).getrandbits(30) << 1 | 1 for k in range(16)]
 BANDS = ((0, 5, 10), (1, 6, 11), (2, 7, 12), (3, 8, 13), (4, 9, 14), (15, 3, 6), (2, 8, 15))
+BLOCK = 32
 #: Representatives of a band in each round of tries.
 REPS = (1, 8)
 BROADCAST_ROWS = 1_000_000
@@ -39,27 +42,24 @@ def normalised(line: Column) -> Column:
 
 
 def shingles(norm: Column, width: int) -> Column:
-    """Distinct hashes of a normalised line's shingles, in ascending order."""
-    found = F.regexp_extract_all(norm, F.lit(rf"(?=(\S.{{0,{width - 1}}}))\S{{1,8}} ?"), F.lit(1))
+    """Distinct hashes of a normalised line's shingles, one from every character, in ascending order."""
+    found = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
 
 
-def bands(hashes: Column) -> Column:
-    """Band keys of sorted hashes; none for an empty array."""
-    points = [(k << 60) - (1 << 63) for k in range(POINTS)]
-
-    def keys(first: Column) -> Column:
-        def at(point: int) -> Column:
-            return F.coalesce(F.get(F.filter(first, lambda x: x >= point), F.lit(0)), first[0])
-
-        # with a hash in every sixteenth, those are the points' own
-        after = F.when(F.size(first) == POINTS, first).otherwise(F.array(*(at(p) for p in points)))
-        return let(after, lambda s: F.array(*(F.xxhash64(F.lit(b), *(s[k] for k in band)) for b, band in enumerate(BANDS))))
-
-    def firsts(s: Column) -> Column:
-        return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 60) != F.shiftright(s[F.greatest(i - 1, F.lit(0))], 60)))
+def signatures(lines: DataFrame, width: int) -> DataFrame:
+    """line, bands (keys) of distinct lines (line, norm) of `width` characters at least.
 
-    return F.when(F.size(hashes) > 0, let(let(hashes, firsts), keys)).otherwise(F.array().cast("array<bigint>"))
+    A line is cut into blocks of BLOCK characters (and what the last shingle needs), so that a shingle is found near the
+    start of a short string; minima are aggregated over rows of one shingle, so no array of them is made.
+    """
+    blocks = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{width},{width + BLOCK - 1}}}))(?:.{{{BLOCK}}}|.+)"), F.lit(1))
+    each = lines.filter(F.length("norm") >= width).select("line", F.explode(blocks).alias("block"))
+    each = each.select("line", "block", F.explode(F.sequence(F.lit(1), F.length("block") - (width - 1))).alias("at"))
+    low = 0xFFFFFFFF
+    each = each.select("line", F.xxhash64(F.col("block").substr(F.col("at"), F.lit(width))).bitwiseAND(low).alias("x"))
+    least = each.groupBy("line").agg(*(F.min((F.col("x") * m).bitwiseAND(low)).alias(f"m{k}") for k, m in enumerate(FACTORS)))
+    return least.select("line", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{k}") for k in band)) for b, band in enumerate(BANDS))).alias("bands"))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -83,11 +83,11 @@ def _mixed(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
     return placed.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).filter("low <> high").select("bucket", "line", "c")
 
 
-def links(docs: DataFrame, places: DataFrame, width: int, threshold: float, min_chars: int) -> DataFrame:
-    """Verified pairs (u, v) of line hashes that hold the components together; places: line, bands."""
-    keys = places.select("line", F.explode("bands").alias("bucket"))
+def links(docs: DataFrame, width: int, threshold: float, min_chars: int) -> DataFrame:
+    """Verified pairs (u, v) of line hashes that hold the components together."""
+    keys = signatures(_lines(docs, min_chars).select("line", "norm"), width).select("line", F.explode("bands").alias("bucket"))
     w = Window.partitionBy("bucket")
-    met = keys.withColumn("low", F.min("line").over(w)).withColumn("high", F.max("line").over(w)).filter("low <> high").select("bucket", "line").distinct()
+    met = keys.withColumn("low", F.min("line").over(w)).withColumn("high", F.max("line").over(w)).filter("low <> high").select("bucket", "line")
     rest = table(met, "buckets")
     wanted = table(rest.select("line").distinct(), "wanted")
     sets = _lines(docs, min_chars).join(_few(wanted), "line", "left_semi").dropDuplicates(["line"]).select("line", shingles(F.col("norm"), width).alias("s"))
@@ -119,9 +119,8 @@ def links(docs: DataFrame, places: DataFrame, width: int, threshold: float, min_
 
 def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
     """doc_id, text_key and gone (positions of the lines to remove)."""
-    found = _lines(docs, min_chars).select("doc_id", "text_key", "pos", "line", bands(shingles(F.col("norm"), width)).alias("bands"))
-    places = table(found, "places")
-    comp = table(components(links(docs, places, width, threshold, min_chars)), "line-components")
+    places = table(_lines(docs, min_chars).select("doc_id", "text_key", "pos", "line"), "places")
+    comp = table(components(links(docs, width, threshold, min_chars)), "line-components")
     placed = places.join(comp, F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
     first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first")
     here = F.struct("doc_id", "text_key", "pos")

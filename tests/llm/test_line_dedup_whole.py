@@ -29,3 +29,24 @@ def test_a_chain_is_joined_whichever_line_is_tried_first(spark, monkeypatch):
         if h[1].h == min(x.h for x in h):
             break
     assert removed(spark, [v, u, w]) == [0, 1, 1]
+
+
+def test_shingles_start_at_every_character(spark):
+    """Unspaced text that one character in front shifts is still a near copy."""
+    text = "".join(chr(0x4E00 + int(k)) for k in np.random.default_rng(1).integers(0, 3000, 200)) + "🙂" + "字" * 20
+    found = spark.createDataFrame([(text,)], "t string").select(line_dedup.shingles(line_dedup.F.col("t"), 12).alias("s")).first().s
+    assert len(found) == len({text[k : k + 12] for k in range(len(text) - 11)})
+    assert removed(spark, [text, "新" + text, text[:-1]]) == [0, 1, 1]
+
+
+def test_signatures_are_the_minima_over_every_shingle(spark):
+    lines = ["".join(np.random.default_rng(n).choice(list("abcé字🙂"), n)) for n in (12, 13, 43, 44, 45, 75, 76, 77, 500)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line long, norm string")
+    got = {r.line: r.bands for r in line_dedup.signatures(df, 12).collect()}
+    hashed = spark.createDataFrame([(k, t[i : i + 12]) for k, t in enumerate(lines) for i in range(len(t) - 11)], "line long, t string").selectExpr("line", "xxhash64(t) h").toPandas()
+    rows = []
+    for k, g in hashed.groupby("line"):
+        low = [min((int(h) % 2**32) * m % 2**32 for h in g.h) for m in line_dedup.FACTORS]
+        rows += [(k, b, *(low[i] for i in band)) for b, band in enumerate(line_dedup.BANDS)]
+    want = spark.createDataFrame(rows, "line long, b int, x long, y long, z long").selectExpr("line", "b", "xxhash64(b, x, y, z) h").toPandas()
+    assert got == {k: list(g.sort_values("b").h) for k, g in want.groupby("line")}
