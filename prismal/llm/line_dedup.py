@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash: of each component of near-equal lines in the corpus one line stays.
 
-A line (blanks collapsed, lower case, of `min_chars` characters at least; shorter ones are left alone) is the set of its
+A line (blanks collapsed, lower case, of `min_chars` characters at least; shorter ones are left alone, none but blank ones at 1) is the set of its
 character shingles: `width` characters from every character on. A line of fewer than `width` characters is only equal to itself.
 Signature: minima of the shingle hashes under 16 orders, each given by a multiplication. Seven bands of three values; lines that meet in a band are verified by
 the exact Jaccard similarity of their shingles. Links are joined by distributed union-find (star contraction);

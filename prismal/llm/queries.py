@@ -28,7 +28,7 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     kept = F.coalesce("text", F.lit(""))
     return found.select("doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept, 256).alias("kept_sha256"))
 

@@ -50,3 +50,16 @@ def test_signatures_are_the_minima_over_every_shingle(spark):
         rows += [(k, b, *(low[i] for i in band)) for b, band in enumerate(line_dedup.BANDS)]
     want = spark.createDataFrame(rows, "line long, b int, x long, y long, z long").selectExpr("line", "b", "xxhash64(b, x, y, z) h").toPandas()
     assert got == {k: list(g.sort_values("b").h) for k, g in want.groupby("line")}
+
+
+def test_the_query_and_the_pipeline_take_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from prismal.llm.queries import QUERIES
+
+    tail = "a longer line of the second document that stays as it is"
+    docs = spark.createDataFrame([(1, "Contents\nfourteen chars\n\n}"), (2, f"contents\nFourteen  chars\n\n}}\n\n{tail}"), (3, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [(found[k].n_lines, found[k].n_removed) for k in (1, 2, 3)] == [(4, 0), (6, 3), (0, 0)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: "Contents\nfourteen chars\n\n}", 2: f"\n\n{tail}", 3: None}
