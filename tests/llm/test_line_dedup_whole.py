@@ -63,3 +63,14 @@ def test_the_query_and_the_pipeline_take_short_lines(spark, tmp_path):
     assert [(found[k].n_lines, found[k].n_removed) for k in (1, 2, 3)] == [(4, 0), (6, 3), (0, 0)]
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
     assert left == {1: "Contents\nfourteen chars\n\n}", 2: f"\n\n{tail}", 3: None}
+
+
+def test_bands_find_pairs_at_the_threshold_however_few_their_shingles():
+    rng, factors = np.random.default_rng(0), np.array(line_dedup.FACTORS, "u8")
+    for shared, left, right in ((4, 1, 0), (8, 1, 1), (16, 2, 2), (80, 10, 10)):
+        met = 0
+        for _ in range(1500):
+            h = rng.integers(0, 2**32, (shared + left + right, 1), dtype="u8") * factors & np.uint64(0xFFFFFFFF)
+            same = h[: shared + left].min(0) == np.concatenate([h[:shared], h[shared + left :]]).min(0)
+            met += any(same[list(b)].all() for b in line_dedup.BANDS)
+        assert met / 1500 > 0.995
