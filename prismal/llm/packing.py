@@ -11,8 +11,8 @@ With no weights given the target is the corpus' own mixture, which lasts until t
 that runs dry leaves its share to the others.
 
 Defined results: a null text is empty and packs its end id; a null source is a queue of its own; repeated rows are
-documents of their own; an empty table gives no row; other columns are ignored. Over `max_queues` sources are
-dealt into that many queues by crc32 of the name, so what is broadcast stays bounded.
+documents of their own; an empty table gives no row; other columns are ignored. Each source is a queue at any number of
+sources; a task holds two numbers a source, and counts for CELLS / sources windows at a time.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from prismal.llm import bpe, shards
 from prismal.llm.common import new_dir, table
 
+#: Sources times windows that a task computes at once.
+CELLS = 1 << 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -73,9 +75,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: int
     yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([shard.stem] * n, pa.string()), pa.array([enc.width] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(list(sources), pa.string()), pa.array(tokens, pa.int64())], ["shard", "stem", "width", "ordinal", "source", "n_tokens"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], queues: list[str | None], totals: np.ndarray, rates: np.ndarray, length: int, emit_ids: bool) -> Iterator[pa.RecordBatch]:
-    at = {q: k for k, q in enumerate(queues)}
+def _pieces(batches: Iterator[pa.RecordBatch], totals: np.ndarray, rates: np.ndarray, length: int, emit_ids: bool) -> Iterator[pa.RecordBatch]:
     margin = len(totals) // length + 2
+    span = max(1, min(8192, CELLS // max(1, len(totals))))
 
     def rank(i: int, k: int) -> int:
         """About how many tokens of all queues are served before token i of queue k; ties can shift it by a token a queue."""
@@ -87,23 +89,30 @@ def _pieces(batches: Iterator[pa.RecordBatch], queues: list[str | None], totals:
             doc, of, size = np.array(shards.mapped(row["stem"] + ".docs", "<i8")).reshape(-1, 3).T
             end = np.cumsum(size)
             first = end - size
+            by_source = np.argsort(of, kind="stable")
+            bounds = np.searchsorted(of[by_source], np.arange(len(row["parts"]) + 1))
+            todo: dict[int, list] = {}  # by range of windows: the parts that may have tokens there
             for part in sorted(row["parts"], key=lambda p: p["ordinal"]):
-                mine, k = np.flatnonzero(of == part["ordinal"]), at[part["queue"]]
+                mine, k = by_source[bounds[part["ordinal"]] : bounds[part["ordinal"] + 1]], part["queue"]
                 starts = part["base"] + np.concatenate([[0], np.cumsum(size[mine])])
                 edge = [max(0, rank(i, k) // length - margin) for i in (starts[0], starts[-1])]
-                edge[1] += 2 * margin
-                for w0 in range(edge[0], edge[1] + 1, 8192):
-                    w = np.arange(w0, min(w0 + 8192, edge[1] + 1) + 1)
-                    cum = served(w, length, totals, rates)
-                    lead = np.diff(cum[:k], axis=1).sum(0)  # what the queues before this one put into each window
-                    low, high = max(starts[0], cum[k, 0]), min(starts[-1], cum[k, -1])
+                for turn in range(edge[0] // span, (edge[1] + 2 * margin) // span + 1):
+                    todo.setdefault(turn, []).append((part["source"], k, mine, starts))
+            for turn in sorted(todo):
+                w = np.arange(turn * span, (turn + 1) * span + 1)
+                every = served(w, length, totals, rates)
+                leads = np.diff(every, axis=1)  # what the queues before one put into each window
+                leads = np.cumsum(leads, 0) - leads
+                for source, k, mine, starts in todo[turn]:
+                    cum, lead = every[k], leads[k]
+                    low, high = max(starts[0], cum[0]), min(starts[-1], cum[-1])
                     if low >= high:
                         continue
-                    inner = np.concatenate([starts, cum[k]])
+                    inner = np.concatenate([starts, cum])
                     cuts = np.unique(np.concatenate([[low, high], inner[(inner > low) & (inner < high)]]))
                     left, right = cuts[:-1], cuts[1:]
                     which = np.searchsorted(starts, left, "right") - 1
-                    window = np.searchsorted(cum[k], left, "right") - 1
+                    window = np.searchsorted(cum, left, "right") - 1
                     d = mine[which]
                     begin = left - starts[which]
                     a, z = first[d] + begin, first[d] + begin + (right - left)
@@ -111,13 +120,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], queues: list[str | None], totals:
                     shift = int(a.min())
                     view = memoryview(wide).cast("B")
                     crc = [zlib.crc32(view[4 * (i - shift) : 4 * (j - shift)]) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
-                    out = {"doc_id": doc[d], "start": begin, "length": right - left, "ids_crc32": np.array(crc, "i8"), "doc_tokens": size[d], "sequence_id": w[window], "offset": lead[window] + left - cum[k][window], "source": pa.array([part["source"]] * len(d), pa.string())}
+                    out = {"doc_id": doc[d], "start": begin, "length": right - left, "ids_crc32": np.array(crc, "i8"), "doc_tokens": size[d], "sequence_id": w[window], "offset": lead[window] + left - cum[window], "source": pa.array([source] * len(d), pa.string())}
                     if emit_ids:
                         out["ids"] = pa.array([wide[i - shift : j - shift].astype("i4") for i, j in zip(a, z, strict=True)], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict(out)
 
 
-def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, length: int = 2048, weights: dict[str, float] | None = None, emit_ids: bool = False, max_queues: int = 1024) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, length: int = 2048, weights: dict[str, float] | None = None, emit_ids: bool = False) -> DataFrame:
     """Pieces of the documents (doc_id, source, text) in sequences of `length` tokens; only the last is shorter.
 
     weights: target share by source (any positive scale; sources not named get the smallest); None: the corpus' mixture.
@@ -125,17 +134,21 @@ def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, length: int = 20
     folder = new_dir(df.sparkSession, "packing")
     rows = df.select("doc_id", "source", "text")
     found = table(rows.mapInArrow(partial(_encode, path=tokenizer, kind=kind, end_id=end_id, folder=folder), "shard long, stem string, width int, ordinal long, source string, n_tokens long"), "packing-manifest")
-    many = found.select("source").distinct().limit(max_queues + 1).count() > max_queues
-    queue = (F.crc32(F.coalesce("source", F.lit(""))) % max_queues).cast("string") if many else F.col("source")
-    found = found.withColumn("queue", queue)
-    sums = {r.queue: r.n for r in found.groupBy("queue").agg(F.sum("n_tokens").alias("n")).collect()}  # at most max_queues rows
-    queues = sorted(sums, key=lambda q: (q is not None, q or ""))
-    totals = np.array([sums[q] for q in queues], "i8")
+    sums = found.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    named = table(sums.withColumn("queue", F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))) - 1), "packing-queues")  # a row per source
+    rows = named.orderBy("queue").toArrow()
+    totals = rows["n"].to_numpy().astype("i8")
     rates = totals.astype("f8")
     if weights:
         least = min(weights.values())
-        rates = np.array([weights.get(q, least) for q in queues], "f8")
+        rates = np.array([weights.get(q, least) for q in rows["source"].to_pylist()], "f8")
+    shared = df.sparkSession.sparkContext.broadcast((totals, rates))
+    queues = named.select(F.col("source").alias("_source"), "queue")
     before = Window.partitionBy("queue").orderBy("shard", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    based = found.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    based = found.join(queues, F.col("source").eqNullSafe(F.col("_source"))).withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
     plan = based.groupBy("shard", "stem", "width").agg(F.collect_list(F.struct("ordinal", "source", "queue", "base")).alias("parts"))
-    return plan.mapInArrow(partial(_pieces, queues=queues, totals=totals, rates=rates, length=length, emit_ids=emit_ids), PIECES + (", ids array<int>" if emit_ids else ""))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pieces(batches, *shared.value, length, emit_ids)
+
+    return plan.mapInArrow(pieces, PIECES + (", ids array<int>" if emit_ids else ""))
