@@ -69,17 +69,26 @@ def runs(symbols: DataFrame) -> DataFrame:
 def move_to_front(symbols: DataFrame) -> DataFrame:
     """Index of a symbol in a list that moves each used one to its front: distinct symbols since its last use (first use: -1).
 
-    A fold over the stream of a key with the list as its state.
+    A pass over the stream of a key with the list as its state; a task holds one key's stream.
     """
-    line = symbols.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "sym"))).alias("s"))
-    start = F.struct(F.array().cast("array<bigint>").alias("front"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        at = F.array_position(a["front"], x["sym"]) - 1
-        return F.struct(F.concat(F.array(x["sym"]), F.array_remove(a["front"], x["sym"])).alias("front"), F.concat(a["out"], F.array(at.cast("long"))).alias("out"))
-
-    folded = line.select("key", F.aggregate("s", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("key", F.posexplode("out").alias("pos", "index")).select("key", F.col("pos").cast("long").alias("pos"), "index")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        front: list[int] = []
+        seen: set[int] = set()
+        out = []
+        for s in pdf["sym"].tolist():
+            if s in seen:
+                at = front.index(s)
+                del front[at]
+            else:
+                at = -1
+                seen.add(s)
+            front.insert(0, s)
+            out.append(at)
+        return pd.DataFrame({"key": pdf["key"], "pos": pdf["pos"], "index": np.array(out, "i8")})
+
+    return symbols.select("key", "pos", "sym").groupBy("key").applyInPandas(run, "key long, pos long, index long")
 
 
 def reindex(df: DataFrame, label: str, order: str) -> DataFrame:
@@ -129,29 +138,37 @@ def normalized(counts: np.ndarray, total: int = 4096) -> np.ndarray:
     return out
 
 
+def _ans_sizes(freq: np.ndarray) -> tuple[int, int, int]:
+    """Bits of the table, bits of the least state, first state."""
+    bits = int(freq.sum()).bit_length() - 1
+    low = max(16, bits)
+    return bits, low, 0x130000 << (low - 16)
+
+
 def ans_encode(symbols: list[int], freq: np.ndarray) -> tuple[int, list[int]]:
-    """rANS with a 12-bit table and 16-bit renormalisation, last symbol first: final state and words."""
-    start = np.concatenate([[0], np.cumsum(freq)])
-    state, words = 0x130000, []
+    """rANS with a table of a power of two (12 bits unless the alphabet is larger) and 16-bit renormalisation, last symbol first: final state and words."""
+    bits, low, state = _ans_sizes(freq)
+    start, freq, words = np.concatenate([[0], np.cumsum(freq)]).tolist(), freq.tolist(), []
     for s in reversed(symbols):
-        f = int(freq[s])
-        if state >= f << 20:
+        f = freq[s]
+        while state >= f << (low + 16 - bits):
             words.append(state & 0xFFFF)
             state >>= 16
-        state = (state // f << 12) + int(start[s]) + state % f
+        state = (state // f << bits) + start[s] + state % f
     return state, words
 
 
 def ans_decode(state: int, words: list[int], n: int, freq: np.ndarray) -> tuple[list[int], int]:
-    start = np.concatenate([[0], np.cumsum(freq)])
-    of = np.repeat(np.arange(len(freq)), freq)
-    out, words = [], list(words)
+    bits, low, _ = _ans_sizes(freq)
+    start = np.concatenate([[0], np.cumsum(freq)]).tolist()
+    of = np.repeat(np.arange(len(freq)), freq).tolist()
+    freq, mask, out, words = freq.tolist(), (1 << bits) - 1, [], list(words)
     for _ in range(n):
-        slot = state & 4095
-        s = int(of[slot])
+        slot = state & mask
+        s = of[slot]
         out.append(s)
-        state = int(freq[s]) * (state >> 12) + slot - int(start[s])
-        if state < 1 << 16:
+        state = freq[s] * (state >> bits) + slot - start[s]
+        while state < 1 << low:
             state = state << 16 | words.pop()
     return out, state
 
@@ -162,10 +179,10 @@ def ans_round_trip(symbols: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values("pos")["sym"].to_numpy()
         names, ids = np.unique(s, return_inverse=True)
-        freq = normalized(np.bincount(ids))
+        freq = normalized(np.bincount(ids), 1 << max(12, len(names).bit_length()))
         state, words = ans_encode(ids.tolist(), freq)
         back, last = ans_decode(state, words, len(ids), freq)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [len(s)], "alphabet": [len(names)], "words": [len(words)], "exact": [back == ids.tolist() and last == 0x130000]})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [len(s)], "alphabet": [len(names)], "words": [len(words)], "exact": [back == ids.tolist() and last == _ans_sizes(freq)[2]]})
 
     return symbols.groupBy("key").applyInPandas(run, "key long, n long, alphabet long, words long, exact boolean")
 

@@ -318,6 +318,11 @@ def move_to_front(spark, d):
     return symbols.move_to_front(short(spark, d))
 
 
+@query()
+def move_to_front_texts(spark, d):
+    return symbols.move_to_front(stream(spark, d))
+
+
 @query("SELECT source AS label, f AS first, row_number() OVER (ORDER BY f, source) - 1 AS id FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)")
 def canonical_reindex(spark, d):
     return symbols.reindex(table(spark, d, "documents"), "source", "doc_id")
@@ -330,7 +335,7 @@ def huffman_codes(spark, d):
 
 @query()
 def ans_round_trip(spark, d):
-    return symbols.ans_round_trip(short(spark, d))
+    return symbols.ans_round_trip(stream(spark, d))
 
 
 @query("""WITH o AS (SELECT o_custkey AS g, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)
