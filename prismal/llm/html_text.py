@@ -33,12 +33,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AGAIN = frozenset("p li dt dd tr td th option".split())
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 64, 16, 6, 20
 WORD = re.compile(r"\w+")
+NO_PATH = np.zeros(PATH_DIM, "f4")
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path, share of it inside links) of every block with text, in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, str]] = []
+def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
+    """(text, vector of its path, share of it inside links) of every block with text, in page order."""
+    out: list[tuple[str, np.ndarray, float]] = []
+    stack: list[tuple[str, np.ndarray]] = []  # tag, sum over the elements from the outermost to this one
     buffer: list[str] = []
     linked = 0
 
@@ -46,7 +47,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            out.append((text, tuple(x[1] for x in stack if x[0] not in INLINE)[-24:], min(1.0, linked / len(text))))
+            out.append((text, stack[-1][1] if stack else NO_PATH, min(1.0, linked / len(text))))
         buffer.clear()
         linked = 0
 
@@ -84,7 +85,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                     if stack[k][0] in ("ul", "ol", "table", "div", "article", "section"):
                         break
             attributes = " ".join(next(filter(None, x), "") for x in ATTRIBUTE.findall(m[4])) if m[4] and "=" in m[4] else ""
-            stack.append((name, f"{name} {attributes.lower()}" if attributes else name))
+            around = stack[-1][1] if stack else NO_PATH
+            stack.append((name, around if name in INLINE else around + _element(f"{name} {attributes.lower()}" if attributes else name)))
         links = sum(x[0] == "a" for x in stack)
     if at < len(page):
         raw = page[at:]
@@ -99,24 +101,21 @@ def _direction(token: str, dim: int) -> np.ndarray:
 
 
 @functools.lru_cache(20_000)
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIM, "f4")
-    for element in path:
-        tag, _, names = element.partition(" ")
-        out += _direction("<" + tag, PATH_DIM)
-        for x in set(re.split(r"[^a-z]+", names)) - {""}:
-            out += _direction("." + x, PATH_DIM)
+def _element(element: str) -> np.ndarray:
+    tag, _, names = element.partition(" ")
+    out = _direction("<" + tag, PATH_DIM).copy()
+    for x in set(re.split(r"[^a-z]+", names)) - {""}:
+        out += _direction("." + x, PATH_DIM)
     return out / 2
 
 
-def features(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def features(page: list[tuple[str, np.ndarray, float]]) -> np.ndarray:
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + MEASURES), "f4")
     for k, (text, path, links) in enumerate(page):
-        words = WORD.findall(text[:2000].lower()) if len(text) > 2000 else WORD.findall(text.lower())
-        x[k, :PATH_DIM] = _path(path)
-        few = words[:24] + words[-8:]
-        if few:
-            x[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.mean([_direction(w, WORD_DIM) for w in few], 0)
+        words = WORD.findall(text.lower())
+        x[k, :PATH_DIM] = path
+        for at in range(0, len(words), 4096):
+            x[k, PATH_DIM : PATH_DIM + WORD_DIM] += np.sum([_direction(w, WORD_DIM) for w in words[at : at + 4096]], 0) / len(words)
         marks = sum(text.count(c) for c in ".,;!?")
         x[k, -MEASURES:] = (np.log1p(len(text)) / 4, links, min(1.0, marks / (1 + len(words)) * 4), k / len(page), float(text[-1:] in ".!?"), min(3.0, len(page) / 40))
     return x
