@@ -1,8 +1,7 @@
 """Language identification with segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary, fitted by expectation maximisation over all
-segmentations of the words of a bounded sample (`sample_docs` documents, their `fit_words` most frequent words per
-language). A word's score in a language is the sum over all its segmentations, by the forward algorithm; a text's is the
+segmentations of all words of a bounded sample (`sample_docs` distinct texts, the languages in turn, so that each has rows). A word's score in a language is the sum over all its segmentations, by the forward algorithm; a text's is the
 product over its words. Distinct words are scored once per batch and cached.
 
 Defined results: `und` and score 0 where a text is null or has no letter; with nothing to learn from, `und` throughout;
@@ -21,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.llm.common import sampled
-
 LETTERS = re.compile(r"[^\W\d_]+").findall
 PART, UNKNOWN = 32, 1e-8
 
@@ -158,9 +155,20 @@ def groups(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def train(df: DataFrame, vocabulary: str, sample_docs: int = 4000, fit_words: int = 3000) -> Model:
-    """Fit on at most sample_docs rows (text, lang), whole texts, picked by a hash of the row."""
-    rows = sampled(df.filter("lang is not null").select("lang", "text"), sample_docs, "text", "lang").filter("text is not null")
+def sample(df: DataFrame, n: int) -> DataFrame:
+    """lang, text of at most n distinct rows, or one per language if those are more. Languages take turns, each in the order of a hash of its texts."""
+    known = df.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "lang").alias("h"))
+    turns = Window.partitionBy("lang").orderBy("h")
+    distinct = known.select("lang", "h").distinct()
+    langs = known.select("lang").distinct().count()
+    ranked = distinct.withColumn("turn", F.row_number().over(turns)).filter(F.col("turn") <= n)
+    chosen = ranked.orderBy("turn", "h", "lang").limit(max(n, langs)).select("lang", "h")
+    return known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def train(df: DataFrame, vocabulary: str, sample_docs: int = 4000) -> Model:
+    """Fit on all words of the sample of at most sample_docs distinct whole texts (text, lang)."""
+    rows = sample(df, sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -172,9 +180,8 @@ def train(df: DataFrame, vocabulary: str, sample_docs: int = 4000, fit_words: in
             yield pa.RecordBatch.from_arrays([pa.array([x for x in c for _ in c[x]], pa.string()), pa.array([w for x in c for w in c[x]], pa.string()), pa.array([n for x in c for n in c[x].values()], pa.int64())], ["lang", "word", "n"])
 
     found = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = found.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= fit_words)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.select("lang", "word", "n").collect():  # at most fit_words a language
+    for r in found.orderBy("lang", F.desc("n"), "word").collect():  # the words of the sample
         counts[r.lang][r.word] = r.n
     model = Model(sorted(counts), pieces(vocabulary))
     model.fit(counts)

@@ -1,8 +1,8 @@
-"""Features of whole blocks and paths."""
+"""Features of whole blocks and paths, and a training sample that every language is in."""
 
 import numpy as np
 
-from prismal.llm import html_text
+from prismal.llm import bpe, html_text, language
 
 
 def test_features_read_the_whole_block_and_path():
@@ -14,3 +14,11 @@ def test_features_read_the_whole_block_and_path():
     assert np.abs(a[:p] - c[:p]).max() > 0.01
     every = np.mean([html_text._direction(x, html_text.WORD_DIM) for x in [*words, "one"]], 0)
     assert np.allclose(a[p:w], every, atol=1e-5)
+
+
+def test_a_rare_language_is_in_the_sample(spark):
+    rows = [(f"the house number {k}", "en") for k in range(400)] + [("the same text", "en")] * 400 + [("das haus und der garten", "de")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    found = language.sample(df, 20).collect()
+    assert len(found) == len(set(found)) == 20 and [r.text for r in found if r.lang == "de"] == ["das haus und der garten"]
+    assert language.train(df, bpe.vocabulary("piece_bpe_32k.model"), 20).langs == ["de", "en"]
