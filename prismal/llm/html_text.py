@@ -109,13 +109,26 @@ def _element(element: str) -> np.ndarray:
     return out / 2
 
 
+_WORDS = np.zeros((1 << 20, WORD_DIM), "f4")  # a row per seed of _direction, filled at first use
+_FILLED = np.zeros(1 << 20, bool)
+
+
+@functools.lru_cache(200_000)
+def _row(word: str) -> int:
+    seed = zlib.crc32(word.encode()) % (1 << 20)
+    if not _FILLED[seed]:
+        _WORDS[seed] = _direction(word, WORD_DIM)
+        _FILLED[seed] = True
+    return seed
+
+
 def features(page: list[tuple[str, np.ndarray, float]]) -> np.ndarray:
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + MEASURES), "f4")
     for k, (text, path, links) in enumerate(page):
         words = WORD.findall(text.lower())
         x[k, :PATH_DIM] = path
-        for at in range(0, len(words), 4096):
-            x[k, PATH_DIM : PATH_DIM + WORD_DIM] += np.sum([_direction(w, WORD_DIM) for w in words[at : at + 4096]], 0) / len(words)
+        if words:
+            x[k, PATH_DIM : PATH_DIM + WORD_DIM] = _WORDS[list(map(_row, words))].mean(0)
         marks = sum(text.count(c) for c in ".,;!?")
         x[k, -MEASURES:] = (np.log1p(len(text)) / 4, links, min(1.0, marks / (1 + len(words)) * 4), k / len(page), float(text[-1:] in ".!?"), min(3.0, len(page) / 40))
     return x
