@@ -44,6 +44,28 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """A table (written, of flat columns) for the small side of a join: broadcast where its rows take `limit` bytes at most, else joined by its key."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
+    width = 16
+    for _, kind in df.dtypes:
+        if kind not in fixed and not (kind.startswith("struct<") and all(x.split(":")[1] in fixed for x in kind[7:-1].split(","))):
+            return df
+        width += 8 * (1 + kind.count(":"))
+    return F.broadcast(df) if df.count() * width <= limit else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,140 +1,157 @@
-"""Fuzzy line dedup by MinHash: of each component of near-equal lines in the corpus one line stays.
+"""Fuzzy lines by MinHash: of each component of near-equal lines in the corpus one line stays.
 
 A line (blanks collapsed, lower case, of `min_chars` characters at least; shorter ones are left alone, none but blank ones at 1) is the set of its
 character shingles: `width` characters from every character on. A line of fewer than `width` characters is only equal to itself.
-Signature: minima of the shingle hashes under 30 orders, each given by a multiplication. Ten bands of three values, none of them in two bands: at a
-similarity of 0.8 a pair meets with 1 - (1 - 0.8^3)^10 = 0.999, however few its shingles. Lines that meet in a band are verified by
-the exact Jaccard similarity of their shingles. Links are joined by distributed union-find (star contraction);
-the line that comes first (document id, text, position) stays, the others are removed.
+Signature: minima of the shingle hashes under 16 orders, each given by a multiplication. The orders form four groups of four, and a
+band is any three of a group: at a similarity of 0.8 a pair meets with 1 - P(Bin(4, 0.8) < 3)^4 = 0.9989, at 0.85 with 0.9999,
+however few its shingles. Lines that meet in a band are verified by the exact Jaccard similarity of their shingles. Links are
+joined by distributed union-find (star contraction); the line that comes first (document id, text, position) stays, the others are removed.
 
-Lines that meet in a band are tried with one representative of the band, then with eight, as long as they are in another
-component than it; after that every pair that still stands in different components is compared, so no link of a chain is
-left out. Equal lines are one line from the start. DataFrame functions only.
+Equal lines are one line from the start. Lines that meet in a band are tried with one representative of the band; those outside the band's
+largest component with 8 and 64; after that each of those with every line of the band that is in another component, so no link of a chain
+is left out. Representatives and mixed bands are found by aggregates that are summed before they are dealt, and looked up by
+joins that Spark can split, so a band that holds a third of all lines isn't gathered in a task. DataFrame functions only.
 
 Defined results: null texts stay null; empty texts stay; a text may lose all its lines and is then empty (the row stays);
-repeated rows are later copies and lose their lines; an empty table gives no row; other columns are carried.
+rows that repeat both an id and a text are one document and keep the same lines; a null id comes first; an empty table gives no row;
+other columns are carried, but for those that have the names of the two counts, which are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import table
+from prismal.llm.common import few, fresh, let, table
 from prismal.llm.components import components
 
 #: Odd numbers under 2^31: multiplied by one of them, modulo 2^32, hashes stand in another order.
-FACTORS = [random.Random(k).getrandbits(30) << 1 | 1 for k in range(30)]
-BANDS = tuple((k, k + 1, k + 2) for k in range(0, 30, 3))
-BLOCK = 32
+FACTORS = [random.Random(k).getrandbits(30) << 1 | 1 for k in range(16)]
+BANDS = tuple(band for k in range(0, 16, 4) for band in itertools.combinations(range(k, k + 4), 3))
+LOW = 0xFFFFFFFF
+#: Shingles hashed in one row, and bytes of a character.
+STEP, WIDE = 4, 4
 #: Representatives of a band in each round of tries.
-REPS = (1, 8)
-BROADCAST_ROWS = 1_000_000
+REPS = (1, 8, 64)
 
 
-def normalised(line: Column) -> Column:
-    """Blanks collapsed and trimmed, lower case. The regular expression runs only where it can change something."""
-    blanks = line.contains("  ")
+def normalised(text: Column) -> Column:
+    """Of a whole text: lower case, blanks within a line collapsed. The regular expression runs only where it can change something."""
+    low = F.lower(text)
+    blanks = low.contains("  ")
     for c in "\t\x0b\f\r":
-        blanks = blanks | line.contains(c)
-    return F.lower(F.trim(F.when(blanks, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
+        blanks = blanks | low.contains(c)
+    return F.when(blanks, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+
+
+def characters(norm: Column) -> Column:
+    """The characters as four bytes each, so that a shingle is cut out without reading what stands before it."""
+    return F.encode(norm, "UTF-32")
 
 
 def shingles(norm: Column, width: int) -> Column:
-    """Distinct hashes of a normalised line's shingles, one from every character, in ascending order."""
-    found = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+    """Distinct hashes of a normalised line's shingles, one from every character."""
+    starts = F.sequence(F.lit(1), (F.length(norm) - width) * WIDE + 1, F.lit(WIDE))
+    return F.array_distinct(let(characters(norm), lambda b: F.transform(starts, lambda at: F.xxhash64(F.substr(b, at, F.lit(width * WIDE))))))
 
 
 def signatures(lines: DataFrame, width: int) -> DataFrame:
     """line, bands (keys) of distinct lines (line, norm) of `width` characters at least.
 
-    A line is cut into blocks of BLOCK characters (and what the last shingle needs), so that a shingle is found near the
-    start of a short string; minima are aggregated over rows of one shingle, so no array of them is made.
+    Each row hashes STEP shingles (the last of a line again where it ends), and minima are aggregated over rows, so no array of hashes is made.
     """
-    blocks = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{width},{width + BLOCK - 1}}}))(?:.{{{BLOCK}}}|.+)"), F.lit(1))
-    each = lines.filter(F.length("norm") >= width).select("line", F.explode(blocks).alias("block"))
-    each = each.select("line", "block", F.explode(F.sequence(F.lit(1), F.length("block") - (width - 1))).alias("at"))
-    low = 0xFFFFFFFF
-    each = each.select("line", F.xxhash64(F.col("block").substr(F.col("at"), F.lit(width))).bitwiseAND(low).alias("x"))
-    least = each.groupBy("line").agg(*(F.min((F.col("x") * m).bitwiseAND(low)).alias(f"m{k}") for k, m in enumerate(FACTORS)))
-    return least.select("line", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{k}") for k in band)) for b, band in enumerate(BANDS))).alias("bands"))
+    wide = lines.filter(F.length("norm") >= width).select("line", characters(F.col("norm")).alias("b"), ((F.length("norm") - width) * WIDE + 1).alias("last"))
+    rows = wide.select("line", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP * WIDE))).alias("at"))
+    starts = [F.least(F.col("at") + WIDE * k, F.col("last")) if k else F.col("at") for k in range(STEP)]
+    hashed = rows.select("line", *(F.xxhash64(F.substr("b", at, F.lit(width * WIDE))).bitwiseAND(LOW).alias(f"x{k}") for k, at in enumerate(starts)))
+    least = hashed.groupBy("line").agg(*(F.min(F.least(*((F.col(f"x{k}") * m).bitwiseAND(LOW) for k in range(STEP)))).alias(f"m{j}") for j, m in enumerate(FACTORS)))
+    return least.select("line", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(BANDS))).alias("bands"))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, text_key, pos, norm, line (hash of norm) of the lines that take part."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    long = each.filter(F.length("raw") >= min_chars).withColumn("norm", normalised(F.col("raw"))).filter(F.length("norm") >= min_chars)
-    return long.select("doc_id", "text_key", "pos", "norm", F.xxhash64("norm").alias("line"))
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast a table of at most BROADCAST_ROWS narrow rows; a larger one is joined by its key."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("pos", "raw"))
+    return each.withColumn("norm", F.trim("raw")).filter(F.length("norm") >= min_chars).select("doc_id", "text_key", "pos", "norm", F.xxhash64("norm").alias("line"))
 
 
 def _mixed(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
     """bucket, line, c (component) of the buckets whose lines are in more than one component."""
-    if comp is None:
-        return keys.withColumn("c", F.col("line"))
-    w = Window.partitionBy("bucket")
-    placed = keys.join(comp, F.col("line") == F.col("node"), "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
-    return placed.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).filter("low <> high").select("bucket", "line", "c")
-
-
-def links(docs: DataFrame, width: int, threshold: float, min_chars: int) -> DataFrame:
-    """Verified pairs (u, v) of line hashes that hold the components together."""
-    keys = signatures(_lines(docs, min_chars).select("line", "norm"), width).select("line", F.explode("bands").alias("bucket"))
-    w = Window.partitionBy("bucket")
-    met = keys.withColumn("low", F.min("line").over(w)).withColumn("high", F.max("line").over(w)).filter("low <> high").select("bucket", "line")
-    rest = table(met, "buckets")
+    placed = keys.withColumn("c", F.col("line"))
+    if comp is not None:
+        placed = keys.join(few(comp), F.col("line") == F.col("node"), "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
+    return placed.join(few(table(mixed, "mixed-buckets")), "bucket", "left_semi")
+
+
+def _outside(mixed: DataFrame) -> DataFrame:
+    """The rows of mixed that are not in the largest component of their bucket."""
+    sizes = mixed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    # the largest: by size, then by the component's number
+    most = sizes.groupBy("bucket").agg(F.max("n").alias("n")).join(sizes, ["bucket", "n"]).groupBy("bucket").agg(F.min("c").alias("most"))
+    return mixed.join(few(table(most, "largest")), "bucket").filter("c <> most").drop("most")
+
+
+def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
+    """node, component of every line of lines (line, norm) that has a link; a line may stand in many rows."""
+    signed = table(signatures(lines, width), "signatures")
+    keys = signed.select("line", F.explode("bands").alias("bucket"))
+    rest = table(_mixed(keys, None).select("bucket", "line"), "buckets")
     wanted = table(rest.select("line").distinct(), "wanted")
-    sets = _lines(docs, min_chars).join(_few(wanted), "line", "left_semi").dropDuplicates(["line"]).select("line", shingles(F.col("norm"), width).alias("s"))
+    sets = lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")).select("line", shingles(F.col("norm"), width).alias("s"))
     sets = table(sets, "shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("line").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("line").alias("v"), F.col("s").alias("sv")), "v")
-        shared = F.size(F.array_intersect("su", "sv"))
         near = (F.size("su") >= threshold * F.size("sv")) & (F.size("sv") >= threshold * F.size("su"))
+        shared = F.size(F.array_intersect("su", "sv"))
         return table(both.filter(near).filter(shared >= threshold * (F.size("su") + F.size("sv") - shared)).select("u", "v"), "links")
 
-    # rounds of tries that are linear in the members of a bucket; what they leave in different components is joined after that
-    comp, found, tried = None, None, None
-    for turn, reps in enumerate(REPS):
+    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of x and y (bucket, line, c) that share a bucket and stand in different components."""
+        met = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")))
+        return met.select(F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")).distinct()
+
+    comp, tried = None, None
+    for turn, reps in enumerate((*REPS, None)):
         mixed = table(_mixed(rest, comp), "mixed")
-        chosen = mixed.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("line", F.lit(turn)), "line"))).filter(F.col("i") <= reps)
-        met = mixed.alias("x").join(chosen.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")))
-        pairs = met.select(F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")).distinct()
+        asked = mixed if turn == 0 else table(_outside(mixed), "outside")
+        chosen = mixed
+        if reps:
+            # the least line of each of `reps` parts of a bucket, under an order of this turn
+            salt, part = F.xxhash64(F.lit(turn)), F.pmod(F.xxhash64("line", F.lit(turn)), F.lit(reps))
+            chosen = mixed.groupBy("bucket", part.alias("part")).agg(F.min(F.col("line").bitwiseXOR(salt)).alias("m"))
+            chosen = chosen.select("bucket", F.col("m").bitwiseXOR(salt).alias("line")).join(mixed, ["bucket", "line"])
+        pairs = apart(asked, chosen)
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = verify(pairs)
-        found = new if found is None else found.union(new)
-        comp = table(components(found), "components")
-    mixed = table(_mixed(rest, comp), "mixed")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.line") < F.col("y.line")) & (F.col("x.c") != F.col("y.c"))
-    left = mixed.alias("x").join(mixed.alias("y"), apart).select(F.col("x.line").alias("u"), F.col("y.line").alias("v")).distinct()
-    return found.union(verify(table(left.join(tried, ["u", "v"], "left_anti"), "pairs")))
+        comp = table(components(new if comp is None else new.union(comp.select("node", "component"))), "components")
+    return comp
 
 
 def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
     """doc_id, text_key and gone (positions of the lines to remove)."""
-    places = table(_lines(docs, min_chars).select("doc_id", "text_key", "pos", "line"), "places")
-    comp = table(components(links(docs, width, threshold, min_chars)), "line-components")
-    placed = places.join(comp, F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
-    first = placed.groupBy("c").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first")
+    lines = table(_lines(docs, min_chars), "lines")
+    comp = linked(lines.select("line", "norm"), width, threshold)
+    placed = lines.select("doc_id", "text_key", "pos", "line").join(few(comp), F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
+    again = table(placed.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"), "repeated-lines")
+    several = placed.join(few(again), "c", "left_semi")
     here = F.struct("doc_id", "text_key", "pos")
-    gone = placed.join(first, "c").filter(~here.eqNullSafe(F.col("first")))
+    first = several.groupBy("c").agg(F.min(here).alias("first"))
+    gone = several.join(few(table(first, "first-lines")), "c").filter(~here.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def dedup(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
-    """docs with their texts rid of repeated lines; all columns and two more: n_lines, n_removed."""
-    found = table(duplicates(docs, width, threshold, min_chars), "gone").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+def dedup(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """docs with their texts rid of repeated lines; all columns and two more, the counts of lines before and of those removed."""
+    i, k, g = fresh(docs, "_id", "_key", "_gone")
+    found = table(duplicates(docs, width, threshold, min_chars), "gone").select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("gone").alias(g))
+    same = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(k))
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    full = docs.join(_few(found), same, "left")
-    other = [c for c in docs.columns if c != "text"]
-    return full.select(*other, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+    kept = F.array_join(F.filter(parts, lambda x, at: ~F.array_contains(F.col(g), at)), "\n")
+    counts = {n_lines: F.coalesce(F.size(parts), F.lit(0)).cast("long"), n_removed: F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long")}
+    columns = [F.when(F.col(g).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() not in {x.lower() for x in counts}]
+    return docs.join(found, same, "left").select(*columns, *(v.alias(c) for c, v in counts.items()))

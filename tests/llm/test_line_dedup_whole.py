@@ -43,7 +43,7 @@ def test_signatures_are_the_minima_over_every_shingle(spark):
     lines = ["".join(np.random.default_rng(n).choice(list("abcé字🙂"), n)) for n in (12, 13, 43, 44, 45, 75, 76, 77, 500)]
     df = spark.createDataFrame(list(enumerate(lines)), "line long, norm string")
     got = {r.line: r.bands for r in line_dedup.signatures(df, 12).collect()}
-    hashed = spark.createDataFrame([(k, t[i : i + 12]) for k, t in enumerate(lines) for i in range(len(t) - 11)], "line long, t string").selectExpr("line", "xxhash64(t) h").toPandas()
+    hashed = spark.createDataFrame([(k, t[i : i + 12]) for k, t in enumerate(lines) for i in range(len(t) - 11)], "line long, t string").selectExpr("line", "xxhash64(encode(t, 'UTF-32')) h").toPandas()
     rows = []
     for k, g in hashed.groupby("line"):
         low = [min((int(h) % 2**32) * m % 2**32 for h in g.h) for m in line_dedup.FACTORS]
@@ -74,3 +74,31 @@ def test_bands_find_pairs_at_the_threshold_however_few_their_shingles():
             same = h[: shared + left].min(0) == np.concatenate([h[:shared], h[shared + left :]]).min(0)
             met += any(same[list(b)].all() for b in line_dedup.BANDS)
         assert met / 1500 > 0.995
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Rows that repeat id and text keep the same lines; columns that have the counts' names are replaced, others carried."""
+    line = "a line that stands only in this one document of them all"
+    df = spark.createDataFrame([(1, line, 5, "x"), (1, line, 5, "x"), (2, line, 6, "y")], "doc_id long, text string, n_removed int, _id string")
+    found = sorted((r.doc_id, r.text, r.n_removed, r["_id"]) for r in line_dedup.dedup(df, min_chars=1).collect())
+    assert found == [(1, line, 0, "x"), (1, line, 0, "x"), (2, "", 1, "y")]
+
+
+def test_links_are_those_of_true_jaccard(spark):
+    """Against all pairs of lines of one to three hundred characters, near copies at every distance."""
+    rng = np.random.default_rng(11)
+    lines = []
+    for n in (3, 5, 8, 12, 20, 40, 50):
+        for _ in range(6):
+            base = " ".join(words(rng, n))
+            lines.append(base)
+            lines += [changed(base, *rng.choice(n, min(n, k), replace=False)) for k in (1, 1, 2, 3)]
+    sets = [{x[k : k + 12] for k in range(len(x) - 11)} for x in lines]
+    first = list(range(len(lines)))
+    pairs = [(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in lines:
+        for a, b in pairs:
+            first[a] = first[b] = min(first[a], first[b])
+    found = removed(spark, lines, min_chars=1)
+    wrong = [k for k in range(len(lines)) if found[k] != int(first[k] != k)]
+    assert len(pairs) > 60 and len(wrong) <= 1
