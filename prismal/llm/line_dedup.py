@@ -59,7 +59,7 @@ def shingles(norm: Column, width: int) -> Column:
 
 
 def signatures(lines: DataFrame, width: int) -> DataFrame:
-    """line, bands (keys) of distinct lines (line, norm) of `width` characters at least.
+    """line and its minima m0, m1, ... (line, norm), of lines of `width` characters at least.
 
     Each row hashes STEP shingles (the last of a line again where it ends), and minima are aggregated over rows, so no array of hashes is made.
     """
@@ -68,7 +68,12 @@ def signatures(lines: DataFrame, width: int) -> DataFrame:
     starts = [F.least(F.col("at") + WIDE * k, F.col("last")) if k else F.col("at") for k in range(STEP)]
     hashed = rows.select("line", *(F.xxhash64(F.substr("b", at, F.lit(width * WIDE))).bitwiseAND(LOW).alias(f"x{k}") for k, at in enumerate(starts)))
     least = hashed.groupBy("line").agg(*(F.min(F.least(*((F.col(f"x{k}") * m).bitwiseAND(LOW) for k in range(STEP)))).alias(f"m{j}") for j, m in enumerate(FACTORS)))
-    return least.select("line", F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(BANDS))).alias("bands"))
+    return least.select("line", *((F.col(f"m{j}") - (1 << 31)).cast("int").alias(f"m{j}") for j in range(len(FACTORS))))
+
+
+def buckets(signed: DataFrame) -> DataFrame:
+    """line, bucket: a row for each band."""
+    return signed.select("line", F.explode(F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(BANDS)))).alias("bucket"))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -79,8 +84,9 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _mixed(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
     """bucket, line, c (component) of the buckets whose lines are in more than one component."""
-    placed = keys.withColumn("c", F.col("line"))
-    if comp is not None:
+    if comp is None:
+        placed = keys.withColumn("c", F.col("line"))
+    else:
         placed = keys.join(few(comp), F.col("line") == F.col("node"), "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
     return placed.join(few(table(mixed, "mixed-buckets")), "bucket", "left_semi")
@@ -97,17 +103,19 @@ def _outside(mixed: DataFrame) -> DataFrame:
 def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     """node, component of every line of lines (line, norm) that has a link; a line may stand in many rows."""
     signed = table(signatures(lines, width), "signatures")
-    keys = signed.select("line", F.explode("bands").alias("bucket"))
-    rest = table(_mixed(keys, None).select("bucket", "line"), "buckets")
+    keys = buckets(signed)
+    shared_keys = table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared-buckets")
+    rest = table(keys.join(few(shared_keys), "bucket", "left_semi"), "buckets")
     wanted = table(rest.select("line").distinct(), "wanted")
-    sets = lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")).select("line", shingles(F.col("norm"), width).alias("s"))
-    sets = table(sets, "shingles")
+    texts = table(lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("line").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("line").alias("v"), F.col("s").alias("sv")), "v")
-        near = (F.size("su") >= threshold * F.size("sv")) & (F.size("sv") >= threshold * F.size("su"))
-        shared = F.size(F.array_intersect("su", "sv"))
-        return table(both.filter(near).filter(shared >= threshold * (F.size("su") + F.size("sv") - shared)).select("u", "v"), "links")
+        """Those whose similarity reaches the threshold. Texts travel, which are shorter than their shingles."""
+        both = pairs.join(texts.select(F.col("line").alias("u"), F.col("norm").alias("nu")), "u").join(texts.select(F.col("line").alias("v"), F.col("norm").alias("nv")), "v")
+        sets = F.array(F.struct(shingles(F.col("nu"), width).alias("a"), shingles(F.col("nv"), width).alias("b")))
+        shared = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("n"), (F.size(s["a"]) + F.size(s["b"])).alias("total")))
+        reached = F.exists(shared, lambda s: s["n"] >= threshold * (s["total"] - s["n"]))
+        return table(both.filter(reached).select("u", "v"), "links")
 
     def apart(x: DataFrame, y: DataFrame) -> DataFrame:
         """Pairs of x and y (bucket, line, c) that share a bucket and stand in different components."""
@@ -134,9 +142,10 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
 
 def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
     """doc_id, text_key and gone (positions of the lines to remove)."""
-    lines = table(_lines(docs, min_chars), "lines")
+    lines = _lines(docs, min_chars)
+    places = table(lines.select("doc_id", "text_key", "pos", "line"), "places")
     comp = linked(lines.select("line", "norm"), width, threshold)
-    placed = lines.select("doc_id", "text_key", "pos", "line").join(few(comp), F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
+    placed = places.join(few(comp), F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
     again = table(placed.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"), "repeated-lines")
     several = placed.join(few(again), "c", "left_semi")
     here = F.struct("doc_id", "text_key", "pos")
