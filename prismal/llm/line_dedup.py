@@ -4,11 +4,12 @@ A line (blanks collapsed, lower case, of `min_chars` characters at least; shorte
 character shingles: `width` characters from every character on. A line of fewer than `width` characters is only equal to itself.
 Signature: minima of the shingle hashes under 16 orders, each given by a multiplication. The orders form four groups of four, and a
 band is any three of a group: at a similarity of 0.8 a pair meets with 1 - P(Bin(4, 0.8) < 3)^4 = 0.9989, at 0.85 with 0.9999,
-however few its shingles. Lines that meet in a band are verified by the exact Jaccard similarity of their shingles. Links are
+however few its shingles. Lines that meet in a band are compared by bitmaps of their shingles first: bits that differ are shingles that
+differ, so a pair with too many of them can't reach the threshold. The rest is verified by the exact Jaccard similarity. Links are
 joined by distributed union-find (star contraction); the line that comes first (document id, text, position) stays, the others are removed.
 
 Equal lines are one line from the start. Lines that meet in a band are tried with one representative of the band; those outside the band's
-largest component with 8 and 64; after that each of those with every line of the band that is in another component, so no link of a chain
+largest component with 8 and 32; after that each of those with every line of the band that is in another component, so no link of a chain
 is left out. Representatives and mixed bands are found by aggregates that are summed before they are dealt, and looked up by
 joins that Spark can split, so a band that holds a third of all lines isn't gathered in a task. DataFrame functions only.
 
@@ -35,7 +36,9 @@ LOW = 0xFFFFFFFF
 #: Shingles hashed in one row, and bytes of a character.
 STEP, WIDE = 4, 4
 #: Representatives of a band in each round of tries.
-REPS = (1, 8, 64)
+REPS = (1, 8, 32)
+#: Words of 64 bits in a line's bitmap.
+WORDS = 48
 
 
 def normalised(text: Column) -> Column:
@@ -61,7 +64,7 @@ def shingles(norm: Column, width: int) -> Column:
 def signatures(lines: DataFrame, width: int) -> DataFrame:
     """line and its minima m0, m1, ... (line, norm), of lines of `width` characters at least.
 
-    Each row hashes STEP shingles (the last of a line again where it ends), and minima are aggregated over rows, so no array of hashes is made.
+    Minima are aggregated over rows of a few shingles, so no array of hashes is made.
     """
     wide = lines.filter(F.length("norm") >= width).select("line", characters(F.col("norm")).alias("b"), ((F.length("norm") - width) * WIDE + 1).alias("last"))
     rows = wide.select("line", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP * WIDE))).alias("at"))
@@ -71,6 +74,16 @@ def signatures(lines: DataFrame, width: int) -> DataFrame:
     return least.select("line", *((F.col(f"m{j}") - (1 << 31)).cast("int").alias(f"m{j}") for j in range(len(FACTORS))))
 
 
+def bitmaps(lines: DataFrame, width: int) -> DataFrame:
+    """line, b0, b1, ... (WORDS words with a bit for each shingle's hash), size (number of shingles, repeated ones too) of distinct lines (line, norm)."""
+    dealt = lines.repartition("line").select("line", characters(F.col("norm")).alias("b"), (F.length("norm") - width + 1).alias("size"))
+    each = dealt.select("line", "size", "b", F.explode(F.sequence(F.lit(1), (F.col("size") - 1) * WIDE + 1, F.lit(WIDE))).alias("at"))
+    each = each.select("line", "size", F.xxhash64(F.substr("b", "at", F.lit(width * WIDE))).alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
+    words = each.groupBy("line", "size", F.pmod(F.shiftright("x", 6), F.lit(WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("line", "size").agg(*(F.bit_or(F.when(F.col("w") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)))
+
+
 def buckets(signed: DataFrame) -> DataFrame:
     """line, bucket: a row for each band."""
     return signed.select("line", F.explode(F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in band)) for b, band in enumerate(BANDS)))).alias("bucket"))
@@ -108,6 +121,11 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     rest = table(keys.join(few(shared_keys), "bucket", "left_semi"), "buckets")
     wanted = table(rest.select("line").distinct(), "wanted")
     texts = table(lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
+    sketch = table(bitmaps(texts, width), "bitmaps")
+
+    def room(x: str, y: str) -> Column:
+        differ = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+        return (1 + threshold) * differ <= (1 - threshold) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-6
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Those whose similarity reaches the threshold. Texts travel, which are shorter than their shingles."""
@@ -117,10 +135,15 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
         reached = F.exists(shared, lambda s: s["n"] >= threshold * (s["total"] - s["n"]))
         return table(both.filter(reached).select("u", "v"), "links")
 
-    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs of x and y (bucket, line, c) that share a bucket and stand in different components."""
-        met = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")))
-        return met.select(F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")).distinct()
+    def apart(x: DataFrame, y: DataFrame, first: bool) -> DataFrame:
+        """Pairs of x and y (bucket, line, c) that share a bucket, stand in different components and have room for the threshold."""
+        near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c"))
+        pair = [F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")]
+        if first:  # a row has one partner: pairs are fewer than rows
+            met = x.alias("x").join(y.alias("y"), near).select(*pair).distinct()
+            return met.join(few(sketch).alias("x"), F.col("x.line") == F.col("u")).join(few(sketch).alias("y"), F.col("y.line") == F.col("v")).filter(room("x", "y")).select("u", "v")
+        x, y = (z.join(few(sketch), "line") for z in (x, y))
+        return x.alias("x").join(y.alias("y"), near & room("x", "y")).select(*pair).distinct()
 
     comp, tried = None, None
     for turn, reps in enumerate((*REPS, None)):
@@ -132,7 +155,7 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
             salt, part = F.xxhash64(F.lit(turn)), F.pmod(F.xxhash64("line", F.lit(turn)), F.lit(reps))
             chosen = mixed.groupBy("bucket", part.alias("part")).agg(F.min(F.col("line").bitwiseXOR(salt)).alias("m"))
             chosen = chosen.select("bucket", F.col("m").bitwiseXOR(salt).alias("line")).join(mixed, ["bucket", "line"])
-        pairs = apart(asked, chosen)
+        pairs = apart(asked, chosen, turn == 0)
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = verify(pairs)
