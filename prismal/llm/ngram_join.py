@@ -5,7 +5,7 @@ threshold share one there, whatever the order is. The first order puts n-grams f
 was hit once: they stand in one set only and can't be shared, so a set with enough of them has nothing to join. N-grams that
 repeat inside a part of the input come last; ties follow a 64-bit hash. What is left of the prefixes is joined. A pair stands only if the number of shared prefix tokens
 leaves room for the overlap it needs (length and positional bounds), and if its prefixes under two further orders
-also meet; then the overlap is counted.
+also meet: those prefixes alone are fetched for that, and whole sets only for the pairs that all three orders leave. Then the overlap is counted.
 
 Copies of one set are one node. Links serve components: in each group of a shared token, members are first tried
 with one representative, then with several, and only pairs that are still in different components are joined after that, each
@@ -14,7 +14,7 @@ components that the filters leave is verified.
 
 Results are those of exact counting (of 64-bit hashes of the n-grams). Defined results: null texts and texts without
 words have an empty set, linked with nothing; fewer words than n are one n-gram; repeated ids and rows are documents of
-their own; an empty table gives no row; other columns are ignored.
+their own; a row with a null id takes part in links, and has a null component only where no id is in it; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.llm.common import table
+from prismal.llm.common import few, fresh, table
 from prismal.llm.components import components
 
 MIX, SALTS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -60,19 +60,19 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-SET_ROWS = "doc_id long, n long, node long, token long, count long, slice int, cells binary"
+SET_ROWS = "doc_id long, n long, node long, key long, token long, count long, slice int, cells binary"
 SLICES = 64
 #: Representatives of a group in each round of tries, and tokens of a node that rounds with several use.
-REPS, TRY_TOKENS = (1, 8, 32), 6
+REPS, TRY_TOKENS = (1, 8, 32), 3
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (doc_id, n, node), of tokens that repeat among the sets of this part (token, count), and of
+    """Rows of documents (doc_id, n, node, key of the text), of tokens that repeat among the sets of this part (token, count), and of
 
     the cells that the tokens of this part hit, by slices of the bitmap (steps between sorted cells).
     """
     names = [x.split()[0] for x in SET_ROWS.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
     held: list[np.ndarray] = []
     size, seen = 0, set()
 
@@ -97,7 +97,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 4_0
     for b in batches:
         sets = [shingles(t, n) for t in _binary(b.column(1))]
         nodes = [node_of(s) if len(s) else None for s in sets]
-        yield batch(len(sets), doc_id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array(nodes, pa.int64()))
+        yield batch(len(sets), doc_id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()), node=pa.array(nodes, pa.int64()), key=b.column(2))
         for s, k in zip(sets, nodes, strict=True):
             if k is not None and k not in seen:
                 seen.add(k)
@@ -165,21 +165,27 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, late: tup
         )
 
 
-def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted nodes; a text that shares its id with the wanted one, and isn't it, gives none."""
+def _blobs(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the wanted nodes, and their prefixes under the further orders."""
     for b in batches:
         sets = [(k, s) for k, s in zip(b.column(0).to_pylist(), (shingles(t, n) for t in _binary(b.column(1))), strict=True) if len(s) and node_of(s) == k]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "s"])
+        prefixes = [pa.array([_prefix(s, salt, percent).tobytes() for _, s in sets], pa.binary()) for salt in SALTS]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), *prefixes, pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "p", "q", "s"])
 
 
-def _meet(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether the prefixes of both sets meet under each of the further orders."""
-    for salt in SALTS:
-        ka, kb = ((x ^ (x >> np.uint64(31))) * salt for x in (a, b))
-        pa_, pb = prefix_size(len(a), percent) - 1, prefix_size(len(b), percent) - 1
-        if not len(np.intersect1d(np.partition(ka, pa_)[: pa_ + 1], np.partition(kb, pb)[: pb + 1], assume_unique=True)):
-            return False
-    return True
+def _prefix(s: np.ndarray, salt: np.uint64, percent: int) -> np.ndarray:
+    """Tokens of the prefix under the order of a salt, sorted."""
+    order = (s ^ (s >> np.uint64(31))) * salt
+    size = prefix_size(len(s), percent)
+    return np.sort(s[np.argpartition(order, size - 1)[:size]])
+
+
+def _both_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs u, v whose prefixes meet under each further order."""
+    for b in batches:
+        pu, qu, pv, qv = (b.column(k).to_pylist() for k in range(2, 6))
+        keep = [all(len(np.intersect1d(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), assume_unique=True)) for x, y in ((pu[i], pv[i]), (qu[i], qv[i]))) for i in range(len(pu))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -187,11 +193,8 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-            ok = _meet(x, y, percent)
-            if ok:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok = 100 * both >= percent * (len(x) + len(y) - both)
-            keep.append(ok)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -259,16 +262,20 @@ def _first_met(mixed: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000_000, bits: int = 28) -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000_000, bits: int | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of its component).
 
     demoted: how many of the most repeated tokens come last in the first order; they are broadcast. bits: the bitmap has
-    2^bits cells and is broadcast too (32 MB). Both bound memory, not results: with more tokens than cells fewer are known to be alone.
+    2^bits cells, by default eight or more for each word there can be, up to 2^28 (32 MB), and is broadcast too. Both bound memory, not
+    results: with more tokens than cells fewer are known to be alone.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    if bits is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        bits = min(28, max(16, int(2 * size).bit_length()))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     first = table(rows.mapInArrow(partial(_sets, n=n, bits=bits), SET_ROWS), "sets")
-    own = first.filter("n is not null").select("doc_id", "n", "node")
+    own = first.filter("n is not null").select("doc_id", "n", "node", "key")
     often = first.filter("token is not null").groupBy("token").agg(F.sum("count").alias("c")).filter("c >= 4").orderBy(F.desc("c"), "token").limit(demoted).toArrow()
     late = (often["token"].to_numpy().view("u8"), often["c"].to_numpy())
     order = np.argsort(late[0])
@@ -292,14 +299,20 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
         shared.destroy()
     del bitmap
 
+    # the sets of all nodes that have a token in common with another, made once; texts are found by their hash, whatever their ids
+    nodes = table(groups.select("node").distinct(), "nodes")
+    held = table(own.join(few(nodes), "node").groupBy("key").agg(F.min("node").alias("node")).select("node", "key"), "held")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(few(held), "key").select("node", "text")
+    blobs = table(texts.mapInArrow(partial(_blobs, n=n, percent=percent), "node long, p binary, q binary, s binary").dropDuplicates(["node"]), "blobs")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return blobs.select(F.col("node").alias(name), *(F.col(c).alias(c + name) for c in columns))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        at = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-        ids = at.join(nodes, "node").select("doc_id", F.col("node").alias("want"))
-        texts = docs.select("doc_id", "text").join(ids, "doc_id").select("want", "text")
-        blobs = table(texts.mapInArrow(partial(_blobs, n=n), "node long, s binary").dropDuplicates(["node"]), "blobs")
-        both = pairs.join(blobs.select(F.col("node").alias("v"), F.col("s").alias("t")), "v").join(blobs.select(F.col("node").alias("u"), "s"), "u")
-        return table(both.select("u", "v", "s", "t").mapInArrow(partial(_verified, percent=percent), "u long, v long"), "links")
+        prefixes = pairs.join(side("u", "p", "q"), "u").join(side("v", "p", "q"), "v").select("u", "v", "pu", "qu", "pv", "qv")
+        left = table(prefixes.mapInArrow(_both_meet, "u long, v long"), "met")
+        both = left.join(side("u", "s"), "u").join(side("v", "s"), "v").select("u", "v", "su", "sv")
+        return table(both.mapInArrow(partial(_verified, percent=percent), "u long, v long"), "links")
 
     # rounds of tries that are linear in the members of a group; what they leave in different components is joined after that
     comp, links, tried = None, None, None
@@ -325,7 +338,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     and a text with another become one; a null id is a component of its own.
     """
-    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(table(found, "firsts"), F.col("doc_id") == F.col("_id"), "left_semi").union(docs.filter("doc_id is null"))
+    (i,) = fresh(docs, "_id")
+    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct()
+    kept = docs.join(table(found, "firsts"), F.col("doc_id") == F.col(i), "left_semi").union(docs.filter("doc_id is null"))
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

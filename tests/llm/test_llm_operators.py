@@ -266,3 +266,12 @@ def test_queries_on_small_tables(spark):
     assert (lang.lang_pred == lang.lang)[lang.held_out].mean() > 0.95
     tox = QUERIES["op6_toxicity"](spark, folder).toPandas().merge(labels, on="doc_id")
     assert len(tox) == len(labels) and tox.score.between(0, 1).all()
+
+
+def test_ngram_join_links_through_a_null_id(spark):
+    """A and C are linked only through B, whose id is null."""
+    w = [f"w{k}" for k in range(100)]
+    texts = [" ".join(w), " ".join(w[4:] + ["x1", "x2", "x3"]), " ".join(w[8:] + ["x1", "x2", "x3", "x4", "x5", "x6"])]
+    df = spark.createDataFrame([(1, texts[0], "k"), (None, texts[1], "k"), (3, texts[2], "k")], "doc_id long, text string, key string")
+    found = {r.doc_id: r.component_id for r in ngram_join.classes(df, 4, 85).collect()}
+    assert found == {1: 1, None: 1, 3: 1}
