@@ -13,9 +13,12 @@ get equal rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
+import itertools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,9 @@ from pyspark.sql import DataFrame
 
 #: Elements whose content is never text of a page.
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button|audio|video"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
+#: Attributes of a tag: a quote counts only behind an equals sign, so an odd one ends with the tag.
+INSIDE = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b{INSIDE}(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({INSIDE})(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Elements that stand inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -33,6 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AGAIN = frozenset("p li dt dd tr td th option".split())
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 64, 16, 6, 20
 WORD = re.compile(r"\w+")
+MARKS = re.compile(r"[.,;!?]").findall
 NO_PATH = np.zeros(PATH_DIM, "f4")
 
 
@@ -51,7 +57,11 @@ def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
         buffer.clear()
         linked = 0
 
+    open_tags: Counter[str] = Counter()  # of the names on the stack, so that an end tag without a start costs nothing
+
     def close(to: int) -> None:
+        for x in stack[to:]:
+            open_tags[x[0]] -= 1
         del stack[to:]
 
     at = 0
@@ -72,10 +82,11 @@ def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
         if name not in INLINE:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            k = len(stack) - 1
+            while open_tags[name] and stack[k][0] != name:
+                k -= 1
+            if open_tags[name]:
+                close(k)
         elif name not in VOID:
             if name in AGAIN or (name not in INLINE and stack and any(x[0] == "p" for x in stack[-4:])):
                 for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
@@ -87,7 +98,8 @@ def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
             attributes = " ".join(next(filter(None, x), "") for x in ATTRIBUTE.findall(m[4])) if m[4] and "=" in m[4] else ""
             around = stack[-1][1] if stack else NO_PATH
             stack.append((name, around if name in INLINE else around + _element(f"{name} {attributes.lower()}" if attributes else name)))
-        links = sum(x[0] == "a" for x in stack)
+            open_tags[name] += 1
+        links = open_tags["a"]
     if at < len(page):
         raw = page[at:]
         buffer.append(html.unescape(raw) if "&" in raw else raw)
@@ -113,24 +125,41 @@ _WORDS = np.zeros((1 << 20, WORD_DIM), "f4")  # a row per seed of _direction, fi
 _FILLED = np.zeros(1 << 20, bool)
 
 
-@functools.lru_cache(200_000)
-def _row(word: str) -> int:
-    seed = zlib.crc32(word.encode()) % (1 << 20)
-    if not _FILLED[seed]:
-        _WORDS[seed] = _direction(word, WORD_DIM)
-        _FILLED[seed] = True
-    return seed
+class _Rows(dict):
+    """Row of _WORDS of each word between blanks, without the signs around it; 0 and a row of zeros for signs alone."""
+
+    def __missing__(self, chunk: str) -> int:
+        word = "".join(WORD.findall(chunk.lower()))
+        seed = zlib.crc32(word.encode()) % (1 << 20) if word else 0
+        if word and not _FILLED[seed]:
+            drawn = np.frombuffer(hashlib.blake2b(seed.to_bytes(4, "little"), digest_size=2 * WORD_DIM).digest(), "<i2")
+            _WORDS[seed] = drawn * np.float32(3**0.5 / (1 << 15))  # evenly over a range of variance 1
+            _FILLED[seed] = True
+        if len(self) > 400_000:
+            self.clear()
+        self[chunk] = seed
+        return seed
+
+
+_ROWS = _Rows()
 
 
 def features(page: list[tuple[str, np.ndarray, float]]) -> np.ndarray:
+    """A row per block, over all its words and the whole path."""
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + MEASURES), "f4")
-    for k, (text, path, links) in enumerate(page):
-        words = WORD.findall(text.lower())
-        x[k, :PATH_DIM] = path
-        if words:
-            x[k, PATH_DIM : PATH_DIM + WORD_DIM] = _WORDS[list(map(_row, words))].mean(0)
-        marks = sum(text.count(c) for c in ".,;!?")
-        x[k, -MEASURES:] = (np.log1p(len(text)) / 4, links, min(1.0, marks / (1 + len(words)) * 4), k / len(page), float(text[-1:] in ".!?"), min(3.0, len(page) / 40))
+    chunks = [text.split() for text, _, _ in page]
+    sizes = np.array([len(c) for c in chunks])
+    rows = _WORDS[np.fromiter(map(_ROWS.__getitem__, itertools.chain.from_iterable(chunks)), "i8", int(sizes.sum()))]
+    x[:, :PATH_DIM] = [path for _, path, _ in page]
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.add.reduceat(rows, np.cumsum(sizes) - sizes) / sizes[:, None]
+    lengths = np.array([len(t) for t, _, _ in page])
+    marks = np.array([len(MARKS(t)) for t, _, _ in page])
+    x[:, -6] = np.log1p(lengths) / 4
+    x[:, -5] = [links for _, _, links in page]
+    x[:, -4] = np.minimum(1.0, marks / (1 + sizes) * 4)
+    x[:, -3] = np.arange(len(page)) / len(page)
+    x[:, -2] = [t[-1:] in ".!?" for t, _, _ in page]
+    x[:, -1] = min(3.0, len(page) / 40)
     return x
 
 

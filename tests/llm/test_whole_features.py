@@ -1,5 +1,7 @@
 """Features of whole blocks and paths, and a training sample that every language is in."""
 
+import time
+
 import numpy as np
 
 from prismal.llm import bpe, html_text, language
@@ -12,7 +14,7 @@ def test_features_read_the_whole_block_and_path():
     p, w = html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM
     assert np.abs(a[p:w] - b[p:w]).max() > 0 and (a[:p] == b[:p]).all()
     assert np.abs(a[:p] - c[:p]).max() > 0.01
-    every = np.mean([html_text._direction(x, html_text.WORD_DIM) for x in [*words, "one"]], 0)
+    every = np.mean([html_text._WORDS[html_text._ROWS[x]] for x in [*words, "one"]], 0)
     assert np.allclose(a[p:w], every, atol=1e-5)
 
 
@@ -22,3 +24,21 @@ def test_a_rare_language_is_in_the_sample(spark):
     found = language.sample(df, 20).collect()
     assert len(found) == len(set(found)) == 20 and [r.text for r in found if r.lang == "de"] == ["das haus und der garten"]
     assert language.train(df, bpe.vocabulary("piece_bpe_32k.model"), 20).langs == ["de", "en"]
+
+
+def test_hostile_pages_take_linear_time_and_leave_no_markup():
+    """Deep, unclosed and odd-quoted pages; a quote that isn't behind an equals sign ends with its tag."""
+    for page in ("<a " * 40_000 + '"', "<div>x" * 40_000, "<div>" * 40_000 + "</x>" * 40_000, '<a x="' * 40_001, "<p>" * 40_000 + "</p>" * 40_000):
+        began = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - began < 5
+    assert [t for t, _, _ in html_text.blocks('<p title="a"b">Hello world</p><p x=\'>\'>a > b</p>')] == ["Hello world", "a > b"]
+
+
+def test_features_are_those_of_every_word():
+    long = " ".join(f"word{k}," for k in range(5000))
+    a, b = (html_text.features(html_text.blocks(f"<p>{t}</p>"))[0] for t in (long, long + " other"))
+    rows = html_text._WORDS[[html_text._ROWS[w] for w in long.split()]]
+    at = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
+    assert np.allclose(a[at], rows.mean(0), atol=1e-5) and not np.allclose(a[at], b[at], atol=1e-9)
+    assert not html_text.features(html_text.blocks("<p>?!</p>"))[0][at].any()
