@@ -5,8 +5,8 @@ segmentations of all words of a bounded sample (`sample_docs` distinct texts, th
 product over its words. Distinct words are scored once per batch and cached.
 
 Defined results: `und` and score 0 where a text is null or has no letter; with nothing to learn from, `und` throughout;
-a null language is never learned; repeated rows get equal rows; other columns are ignored. A run of over 32 letters is
-scored in parts of 32. Ties go to the language that comes first in the alphabet.
+a null language is never learned; repeated rows get equal rows; other columns are ignored. A letter is a character of a Unicode category L; what is left of a run of other word characters is apart.
+Segmentations are summed over the whole of a word, however long; only for fitting are runs of over 32 letters taken in parts. Ties go to the language that comes first in the alphabet.
 """
 
 from __future__ import annotations
@@ -20,26 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+").findall
+RUNS = re.compile(r"[^\W\d_]+").findall
 PART, UNKNOWN = 32, 1e-8
 
 
-def parts(chunk: str) -> list[str]:
-    """The words of a text as the model reads them: lower case, with a mark at the start, in parts of 32 at most."""
+def letters(text: str) -> list[str]:
+    """Runs of letters: what other characters stand in a run of word characters (superscripts, fractions, numerals) cuts it."""
     out = []
-    for w in LETTERS(chunk.lower()):
-        w = "▁" + w
-        out += [w[i : i + PART] for i in range(0, len(w), PART)]
+    for w in RUNS(text):
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
     return out
 
 
+def parts(chunk: str) -> list[str]:
+    """The words of a text as the model reads them: lower case, with a mark at the start."""
+    return ["▁" + w for w in letters(chunk.lower())]
+
+
 def pieces(path: str) -> list[str]:
     """Distinct lower-case pieces of a sentencepiece vocabulary, those made of letters."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in found if LETTERS(p.removeprefix("▁")) == [p.removeprefix("▁")] or p == "▁")
+    return sorted(p for p in found if letters(p.removeprefix("▁")) == [p.removeprefix("▁")] or p == "▁")
 
 
 class Model:
@@ -63,7 +67,8 @@ class Model:
 
     def fit(self, counts: dict[str, dict[str, int]], rounds: int = 4) -> None:
         for at, lang in enumerate(self.langs):
-            lattices = [(self.edges(w), len(w), n) for w, n in counts[lang].items()]
+            cut = [(w[i : i + PART], n) for w, n in counts[lang].items() for i in range(0, len(w), PART)]
+            lattices = [(self.edges(w), len(w), n) for w, n in cut]
             p = np.full(len(self.p), 1e-4)
             for edges, _, n in lattices:
                 for i, j, k in edges:
@@ -94,6 +99,10 @@ class Model:
         for k, w in enumerate(words):
             by_size[len(w)].append(k)
         for size, at in by_size.items():
+            if size > PART:
+                for k in at:
+                    out[k] = self.long_likelihood(words[k])
+                continue
             spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - longest), j)]
             ids = np.array([[get(words[k][i:j], 0) for i, j in spans] for k in at], "i4").T
             alpha = np.zeros((size + 1, len(at), self.p.shape[1]))
@@ -107,6 +116,16 @@ class Model:
         return out
 
 
+    def long_likelihood(self, word: str) -> np.ndarray:
+        """The same for one long word, by logarithms of the sums at the last places."""
+        sums = [np.zeros(self.p.shape[1])]
+        for j in range(1, len(word) + 1):
+            steps = [(j - i, self.index.get(word[i:j], 0)) for i in range(max(0, j - self.longest), j)]
+            here = np.logaddexp.reduce([sums[-back] + np.log(self.p[k]) for back, k in steps if k or back == 1])
+            sums = [*sums[1 - self.longest :], here] if self.longest > 1 else [here]
+        return sums[-1]
+
+
 class Scorer:
     """Sums over a text's chunks; the vector of a chunk is computed once and cached, up to `cached` chunks."""
 
