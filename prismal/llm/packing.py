@@ -10,7 +10,7 @@ documents starts with the deficits that the shards before it leave.
 With no weights given the target is the corpus' own mixture, which lasts until the last window. With weights, a source
 that runs dry leaves its share to the others.
 
-Defined results: a null text is empty and packs its end id; a null source is a queue of its own; repeated rows are
+Defined results: a null text is empty and packs its end id; a null source is a queue of its own; a null id is returned as -1; repeated rows are
 documents of their own; an empty table gives no row; other columns are ignored. Each source is a queue at any number of
 sources; a task holds two numbers a source, and counts for CELLS / sources windows at a time.
 """
@@ -151,4 +151,5 @@ def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, length: int = 20
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pieces(batches, *shared.value, length, emit_ids)
 
-    return plan.mapInArrow(pieces, PIECES + (", ids array<int>" if emit_ids else ""))
+    # a task a shard: left to itself, Spark would put the short plan into one task
+    return plan.repartition(max(1, found.select("shard").distinct().count())).mapInArrow(pieces, PIECES + (", ids array<int>" if emit_ids else ""))

@@ -4,13 +4,14 @@ Layout of a data set: per shard `<stem>.ids` (token ids, uint16 or uint32 little
 ids) and `<stem>.idx` (uint64, n+1 entries: where each document's ids start counted over the whole data set). Shards
 are ranges of document ids; a shard's base is the exclusive prefix sum of the token counts of the shards before it.
 
-Defined results: a null text is an empty one (it still gets the end id); documents with a null id come first; repeated
+Defined results: a null text is an empty one (it still gets the end id); documents with a null id come first, and have the id -1 in the files; repeated
 ids are documents of their own, in the order of their texts; an empty table gives no shard and no row; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -52,9 +53,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = shards.mapped(row["stem"] + ".len", "<u8")
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8") + np.uint64(row["base"])
             system, path = shards.target(row["stem"] + ".idx")
-            with system.open_output_stream(path + ".tmp") as f:
+            part = f"{path}.{uuid.uuid4().hex}"  # another attempt of the task writes beside it
+            with system.open_output_stream(part) as f:
                 f.write(offsets.tobytes())
-            system.move(path + ".tmp", path)
+            system.move(part, path)
         yield b
 
 
@@ -65,7 +67,7 @@ def write(df: DataFrame, tokenizer: str, kind: str, end_id: int, folder: str | N
     found = table(rows.mapInArrow(partial(_write, path=tokenizer, kind=kind, end_id=end_id, folder=folder), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = found.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
-    return table(based.repartition("shard").mapInArrow(_index, MANIFEST + ", base long"), "manifest")
+    return table(based.repartition(max(1, found.count())).mapInArrow(_index, MANIFEST + ", base long"), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit), shard."""
-    return manifest.repartition("shard").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    # a task a shard: left to itself, Spark would put the short manifest into one task
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def ids_of(manifest: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
