@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="prismal-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    if "://" not in found and not found.startswith("file:"):  # a path of the default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return found.replace("file:/", "file:///", 1) if re.match("file:/[^/]", found) else found
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import ascii_lower, table
+from prismal.llm.common import ascii_lower, fresh, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -82,5 +82,6 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs, all their columns, that hold no window of the benchmark."""
-    bad = hits(docs, benchmark, width).filter(F.size("items") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    d, k = fresh(docs, "_id", "_key")
+    bad = hits(docs, benchmark, width).filter(F.size("items") > 0).select(F.col("doc_id").alias(d), F.col("text_key").alias(k))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)), "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import let, table
+from prismal.llm.common import fresh, let, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -93,7 +93,8 @@ def verdicts(df: DataFrame, host: str = "source", max_share: float = MAX_SHARE,
 
 def clean(df: DataFrame, host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows that are kept, all their columns, their texts without the lines above the limits."""
-    found = verdicts(df, host, max_share, min_docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed_lines").alias("_gone")).distinct()
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = df.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-    return joined.withColumn("text", F.when(F.size("_gone") > 0, text).otherwise(F.col("text"))).select(*df.columns)
+    d, k, g = fresh(df, "_id", "_key", "_gone")
+    found = verdicts(df, host, max_share, min_docs).filter("kept").select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("removed_lines").alias(g)).distinct()
+    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(g), i)), "\n")
+    joined = df.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k)))
+    return joined.withColumn("text", F.when(F.size(g) > 0, text).otherwise(F.col("text"))).select(*df.columns)
