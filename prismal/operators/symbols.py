@@ -18,14 +18,25 @@ def of_text(df: DataFrame, key: str, context: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(context).alias("ctx"), F.posexplode(chars).alias("pos", "c")).select("key", "ctx", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("sym"))
 
 
+def text_runs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Runs of equal characters, found inside each text: key, start, sym, length, and the cost class of the length."""
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  value is worked out once
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    edges = lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, F.greatest(i - 1, F.lit(0)))))
+    run = lambda c, starts: F.transform(starts, lambda at, k: F.struct(at.alias("start"), F.ascii(F.get(c, at)).alias("sym"), (F.coalesce(F.get(starts, k + 1), F.size(c)) - at).alias("length")))
+    found = bind(chars, lambda c: bind(edges(c), lambda starts: run(c, starts)))
+    rows = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.explode(found).alias("r"))
+    return rows.select("key", F.col("r.start").cast("long").alias("start"), F.col("r.sym").cast("long").alias("sym"), F.col("r.length").cast("long").alias("length"), ceil_log2(F.col("r.length")).cast("long").alias("cost"))
+
+
 def histogram(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("ctx", "sym").agg(F.count("*").alias("n"))
 
 
 def entropy(hist: DataFrame) -> DataFrame:
     """Bits that each context's symbols cost under their own distribution."""
-    total = hist.groupBy("ctx").agg(F.sum("n").alias("total"))
-    return hist.join(total, "ctx").groupBy("ctx").agg(F.max("total").alias("total"), F.round(F.sum(F.col("n") * F.log2(F.col("total") / F.col("n"))), 4).alias("bits"))
+    found = hist.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("own"))
+    return found.select("ctx", "total", F.round(F.col("total") * F.log2("total") - F.col("own"), 4).alias("bits"))
 
 
 def alphabet(hist: DataFrame) -> DataFrame:

@@ -20,7 +20,11 @@ def windowed(events: DataFrame, minutes: int = 60, late: str | None = "1 day") -
 
 def run_once(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Stream all files of a folder that match the name through windowed(); the sink keeps the last complete result."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="prismal-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="prismal-stream-")
     out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).option("pathGlobFilter", name).parquet(folder)
 
