@@ -75,13 +75,12 @@ def signatures(lines: DataFrame, width: int) -> DataFrame:
 
 
 def bitmaps(lines: DataFrame, width: int) -> DataFrame:
-    """line, b0, b1, ... (WORDS words with a bit for each shingle's hash), size (number of shingles, repeated ones too) of distinct lines (line, norm)."""
-    dealt = lines.repartition("line").select("line", characters(F.col("norm")).alias("b"), (F.length("norm") - width + 1).alias("size"))
-    each = dealt.select("line", "size", "b", F.explode(F.sequence(F.lit(1), (F.col("size") - 1) * WIDE + 1, F.lit(WIDE))).alias("at"))
-    each = each.select("line", "size", F.xxhash64(F.substr("b", "at", F.lit(width * WIDE))).alias("x"))
+    """line, b0, b1, ... (WORDS words with a bit for each shingle's hash), size (number of distinct shingles) of distinct lines (line, norm)."""
+    own = lines.repartition("line").select("line", F.explode(shingles(F.col("norm"), width)).alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
-    words = each.groupBy("line", "size", F.pmod(F.shiftright("x", 6), F.lit(WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("line", "size").agg(*(F.bit_or(F.when(F.col("w") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)))
+    words = own.groupBy("line", F.pmod(F.shiftright("x", 6), F.lit(WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
+    parts = (F.bit_or(F.when(F.col("w") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS))
+    return words.groupBy("line").agg(F.sum("n").alias("size"), *parts)
 
 
 def buckets(signed: DataFrame) -> DataFrame:
