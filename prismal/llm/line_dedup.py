@@ -112,6 +112,19 @@ def _outside(mixed: DataFrame) -> DataFrame:
     return mixed.join(few(table(most, "largest")), "bucket").filter("c <> most").drop("most")
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after further links u, v: only components that a link joins, and lines new to comp, are contracted again."""
+    held = few(comp)
+    ends = links
+    for end in ("u", "v"):
+        at = held.select(F.col("node").alias("at"), "component")
+        ends = ends.join(at, F.col(end) == F.col("at"), "left").withColumn(end, F.coalesce("component", end)).drop("at", "component")
+    moved = few(table(components(ends), "moved"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return kept.union(moved.join(held, "node", "left_anti").select("node", "component"))
+
+
 def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     """node, component of every line of lines (line, norm) that has a link; a line may stand in many rows."""
     signed = table(signatures(lines, width), "signatures")
@@ -158,7 +171,7 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = verify(pairs)
-        comp = table(components(new if comp is None else new.union(comp.select("node", "component"))), "components")
+        comp = table(components(new) if comp is None else _joined(comp, new), "components")
     return comp
 
 
