@@ -177,10 +177,9 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
 
 def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20) -> DataFrame:
     """doc_id, text_key and gone (positions of the lines to remove)."""
-    lines = _lines(docs, min_chars)
-    places = table(lines.select("doc_id", "text_key", "pos", "line"), "places")
+    lines = table(_lines(docs, min_chars), "lines")
     comp = linked(lines.select("line", "norm"), width, threshold)
-    placed = places.join(few(comp), F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
+    placed = lines.join(few(comp), F.col("line") == F.col("node"), "left").select("doc_id", "text_key", "pos", F.coalesce("component", "line").alias("c"))
     again = table(placed.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c"), "repeated-lines")
     several = placed.join(few(again), "c", "left_semi")
     here = F.struct("doc_id", "text_key", "pos")
