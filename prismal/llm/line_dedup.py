@@ -20,6 +20,7 @@ other columns are carried, but for those that have the names of the two counts,
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 
@@ -105,11 +106,11 @@ def _mixed(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _outside(mixed: DataFrame) -> DataFrame:
-    """The rows of mixed that are not in the largest component of their bucket."""
+    """mixed with a column out: whether a row is not in the largest component of its bucket."""
     sizes = mixed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     # the largest: by size, then by the component's number
     most = sizes.groupBy("bucket").agg(F.max("n").alias("n")).join(sizes, ["bucket", "n"]).groupBy("bucket").agg(F.min("c").alias("most"))
-    return mixed.join(few(table(most, "largest")), "bucket").filter("c <> most").drop("most")
+    return mixed.join(few(table(most, "largest")), "bucket").select("bucket", "line", "c", (F.col("c") != F.col("most")).alias("out"))
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     rest = table(keys.join(few(shared_keys), "bucket", "left_semi"), "buckets")
     wanted = table(rest.select("line").distinct(), "wanted")
     texts = table(lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
-    sketch = table(bitmaps(texts, width), "bitmaps")
+    sketch = table(bitmaps(texts, width).join(signed.join(few(wanted), "line", "left_semi"), "line"), "bitmaps")
 
     def room(x: str, y: str) -> Column:
         differ = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
@@ -147,27 +148,36 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
         reached = F.exists(shared, lambda s: s["n"] >= threshold * (s["total"] - s["n"]))
         return table(both.filter(reached).select("u", "v"), "links")
 
-    def apart(x: DataFrame, y: DataFrame, first: bool) -> DataFrame:
+    # the bucket of the first band that a pair shares
+    same = (functools.reduce(Column.__and__, (F.col(f"x.m{j}") == F.col(f"y.m{j}") for j in band), F.lit(True)) for band in BANDS)
+    met_first = F.coalesce(*(F.when(agree, F.xxhash64(F.lit(b), *(F.col(f"x.m{j}") for j in band))) for (b, band), agree in zip(enumerate(BANDS), same, strict=True)))
+
+    def apart(x: DataFrame, y: DataFrame, turn: int, last: bool) -> DataFrame:
         """Pairs of x and y (bucket, line, c) that share a bucket, stand in different components and have room for the threshold."""
         near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c"))
         pair = [F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")]
-        if first:  # a row has one partner: pairs are fewer than rows
+        if turn == 0:  # a row has one partner: pairs are fewer than rows
             met = x.alias("x").join(y.alias("y"), near).select(*pair).distinct()
             return met.join(few(sketch).alias("x"), F.col("x.line") == F.col("u")).join(few(sketch).alias("y"), F.col("y.line") == F.col("v")).filter(room("x", "y")).select("u", "v")
+        near = near & room("x", "y")
+        if last:  # all pairs: each is met once, in the first bucket that it shares, from one side
+            near = near & (~F.col("y.out") | (F.col("x.line") < F.col("y.line"))) & (F.col("x.bucket") == met_first)
         x, y = (z.join(few(sketch), "line") for z in (x, y))
-        return x.alias("x").join(y.alias("y"), near & room("x", "y")).select(*pair).distinct()
+        return x.alias("x").join(y.alias("y"), near).select(*pair).distinct()
 
     comp, tried = None, None
     for turn, reps in enumerate((*REPS, None)):
         mixed = table(_mixed(rest, comp), "mixed")
-        asked = mixed if turn == 0 else table(_outside(mixed), "outside")
+        if turn:
+            mixed = table(_outside(mixed), "outside")
+        asked = mixed.filter("out") if turn else mixed
         chosen = mixed
         if reps:
             # the least line of each of `reps` parts of a bucket, under an order of this turn
             salt, part = F.xxhash64(F.lit(turn)), F.pmod(F.xxhash64("line", F.lit(turn)), F.lit(reps))
             chosen = mixed.groupBy("bucket", part.alias("part")).agg(F.min(F.col("line").bitwiseXOR(salt)).alias("m"))
             chosen = chosen.select("bucket", F.col("m").bitwiseXOR(salt).alias("line")).join(mixed, ["bucket", "line"])
-        pairs = apart(asked, chosen, turn == 0)
+        pairs = apart(asked, chosen, turn, not reps)
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = verify(pairs)
