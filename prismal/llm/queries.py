@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, decontaminate, html_text, language, line_dedup, line_quality, ngram_join, packing, substring_dedup, token_files, toxicity
+from prismal.llm import bpe, conversation_trie, decontaminate, html_text, language, line_dedup, line_quality, merkle, ngram_join, packing, simhash, substring_dedup, token_files, toxicity
 from prismal.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,4 +65,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_html_text, op3_line_quality, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered(load(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(turns, conversation_trie.branched(turns))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    longer = F.when(picked, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(load(spark, sf_dir, "documents"), merkle.leaf(merkle.FIELDS, n_chars=longer))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_html_text, op3_line_quality, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_packing, op9_language, op10_ngram_join, op11_conversation_trie, op12_merkle_manifest, op13_simhash)}
