@@ -5,12 +5,13 @@ Every source is a queue of tokens. Its quantum is one token per 1/weight of virt
 (i + 1/2) / weight. A window takes the next `length` tokens of that order: it holds each source in its target
 proportion to within a token or two, and what a source lacks or has too much of is carried into the next window. Because the
 order is a formula, the state after any number of windows is found without serving those before: each shard of
-documents starts with the deficits that the shards before it leave.
+documents starts with the deficits that the shards before it leave. Documents stand in their queue by a hash of id and text, so the packing is
+the same in whatever order and partitions rows come; shards are ranges of that hash.
 
 With no weights given the target is the corpus' own mixture, which lasts until the last window. With weights, a source
 that runs dry leaves its share to the others.
 
-Defined results: a null text is empty and packs its end id; a null source is a queue of its own; a null id is returned as -1; repeated rows are
+Defined results: a null text is empty and packs its end id; a null source is a queue of its own; a null id stays null; repeated rows are
 documents of their own; an empty table gives no row; other columns are ignored. Each source is a queue at any number of
 sources; a task holds two numbers a source, and counts for CELLS / sources windows at a time.
 """
@@ -69,7 +70,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: int
         for k, n in zip(of, lengths, strict=True):
             tokens[k] += int(n)
         shard.write("ids", b"".join(x + end for x in ids))
-        shard.write("docs", np.stack([np.array([-1 if i is None else i for i in b.column(0).to_pylist()], "<i8"), of, lengths], 1).tobytes())
+        named = [i is not None for i in b.column(0).to_pylist()]
+        shard.write("docs", np.stack([b.column(0).fill_null(0).to_numpy().astype("<i8"), np.array(named, "<i8"), of, lengths], 1).tobytes())
     shard.close()
     n = len(sources)
     yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([shard.stem] * n, pa.string()), pa.array([enc.width] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(list(sources), pa.string()), pa.array(tokens, pa.int64())], ["shard", "stem", "width", "ordinal", "source", "n_tokens"])
@@ -86,7 +88,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], totals: np.ndarray, rates: np.nda
     for b in batches:
         for row in b.to_pylist():
             ids = shards.mapped(row["stem"] + ".ids", f"<u{row['width']}")
-            doc, of, size = np.array(shards.mapped(row["stem"] + ".docs", "<i8")).reshape(-1, 3).T
+            doc, named, of, size = np.array(shards.mapped(row["stem"] + ".docs", "<i8")).reshape(-1, 4).T
             end = np.cumsum(size)
             first = end - size
             by_source = np.argsort(of, kind="stable")
@@ -120,7 +122,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], totals: np.ndarray, rates: np.nda
                     shift = int(a.min())
                     view = memoryview(wide).cast("B")
                     crc = [zlib.crc32(view[4 * (i - shift) : 4 * (j - shift)]) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
-                    out = {"doc_id": doc[d], "start": begin, "length": right - left, "ids_crc32": np.array(crc, "i8"), "doc_tokens": size[d], "sequence_id": w[window], "offset": lead[window] + left - cum[window], "source": pa.array([source] * len(d), pa.string())}
+                    out = {"doc_id": pa.array(doc[d], mask=named[d] == 0), "start": begin, "length": right - left, "ids_crc32": np.array(crc, "i8"), "doc_tokens": size[d], "sequence_id": w[window], "offset": lead[window] + left - cum[window], "source": pa.array([source] * len(d), pa.string())}
                     if emit_ids:
                         out["ids"] = pa.array([wide[i - shift : j - shift].astype("i4") for i, j in zip(a, z, strict=True)], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict(out)
@@ -132,7 +134,9 @@ def pack(df: DataFrame, tokenizer: str, kind: str, end_id: int, length: int = 20
     weights: target share by source (any positive scale; sources not named get the smallest); None: the corpus' mixture.
     """
     folder = new_dir(df.sparkSession, "packing")
-    rows = df.select("doc_id", "source", "text")
+    place = F.xxhash64("doc_id", "text")
+    rows = df.select(F.col("doc_id").cast("long"), "source", "text", place.alias("place"))
+    rows = rows.repartitionByRange("place").sortWithinPartitions("place", "doc_id", "source").select("doc_id", "source", "text")
     found = table(rows.mapInArrow(partial(_encode, path=tokenizer, kind=kind, end_id=end_id, folder=folder), "shard long, stem string, width int, ordinal long, source string, n_tokens long"), "packing-manifest")
     sums = found.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     named = table(sums.withColumn("queue", F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))) - 1), "packing-queues")  # a row per source
