@@ -6,7 +6,8 @@ so each is classified with the whole page as context. The network is trained her
 a seed: articles in many kinds of containers among menus, headers, footers, sidebars, notices, adverts, forms, related
 links and reader comments. Nothing of the pages to be read is used.
 
-Defined results: null or empty html gives an empty text; a page cut off in a tag, comment or script ends there; repeated rows
+Defined results: null or empty html gives an empty text; a page cut off in a tag, comment or script ends there; an open button, svg, title or
+the like hides its text up to the next tag, an open head ends at the first element of a body; repeated rows
 get equal rows; other columns are ignored.
 """
 
@@ -25,11 +26,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose content is never text of a page.
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select|button|audio|video"
+#: Elements whose content is never text of a page: raw text up to the end tag, and others, of which one without an end tag hides only the text up to the next tag.
+RAW, SILENT = "script|style|iframe", "title|textarea|noscript|template|svg|math|object|canvas|select|button|audio|video"
+#: What may stand in a head; any other element ends it.
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 #: Attributes of a tag: a quote counts only behind an equals sign, so an odd one ends with the tag.
 INSIDE = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b{INSIDE}(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({INSIDE})(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<({RAW})(?=[\s/>]){INSIDE}(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
+    rf"|<(svg|math)(?=[\s/>]){INSIDE}(?<=/)>"
+    rf"|<({SILENT})(?=[\s/>]){INSIDE}(?:>|\Z)(?:(?:(?!<\3[\s/>]).)*?</\3(?=[\s/>])[^>]*(?:>|\Z)|[^<]*(?:</?opt(?:ion|group)(?=[\s/>]){INSIDE}>[^<]*)*)"
+    rf"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({INSIDE})(?:>|\Z)",
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Elements that stand inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -74,14 +84,16 @@ def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
             if links:
                 linked += len(piece.strip())
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[5] or "").lower()
         if not name:
-            if m[1] and m[1].lower() not in INLINE:
+            if m[1] or m[2] or m[3]:
                 flush()
             continue
+        if open_tags["head"] and name not in IN_HEAD:
+            close(next(k for k, x in enumerate(stack) if x[0] == "head"))
         if name not in INLINE:
             flush()
-        if m[2]:
+        if m[4]:
             k = len(stack) - 1
             while open_tags[name] and stack[k][0] != name:
                 k -= 1
@@ -95,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
                         break
                     if stack[k][0] in ("ul", "ol", "table", "div", "article", "section"):
                         break
-            attributes = " ".join(next(filter(None, x), "") for x in ATTRIBUTE.findall(m[4])) if m[4] and "=" in m[4] else ""
+            attributes = " ".join(next(filter(None, x), "") for x in ATTRIBUTE.findall(m[6])) if m[6] and "=" in m[6] else ""
             around = stack[-1][1] if stack else NO_PATH
             stack.append((name, around if name in INLINE else around + _element(f"{name} {attributes.lower()}" if attributes else name)))
             open_tags[name] += 1
