@@ -198,30 +198,6 @@ def ans_round_trip(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("key").applyInPandas(run, "key long, n long, alphabet long, words long, exact boolean")
 
 
-def greedy_clusters(hist: DataFrame, k: int) -> DataFrame:
-    """Contexts filed under k centres: the largest first, then each time the one farthest (merge distance) from the centres.
-
-    The distance matrix has a row per pair of contexts; contexts are few by construction, and that is checked.
-    """
-    spark = hist.sparkSession
-    total = {r.ctx: r.t for r in hist.groupBy("ctx").agg(F.sum("n").alias("t")).limit(2049).collect()}
-    if len(total) > 2048:
-        raise ValueError("over 2048 contexts")
-    far = {}
-    for r in merge_distance(hist).collect():
-        far[r.a, r.b] = far[r.b, r.a] = r.distance
-    names = sorted(total, key=lambda c: (-total[c], c))
-    centres: list[str] = []
-    near = {c: float("inf") for c in names}
-    while names and len(centres) < min(k, len(names)):
-        new = max(names, key=lambda c: (near[c], total[c], c)) if centres else names[0]
-        centres.append(new)
-        for c in names:
-            near[c] = min(near[c], 0.0 if c == new else far[c, new])
-    rows = [(c, min(range(len(centres)), key=lambda j: (0.0 if c == centres[j] else far[c, centres[j]], j))) for c in sorted(names)]
-    return spark.createDataFrame(rows, "ctx string, cluster long")
-
-
 def lehmer(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Lehmer digits of a permutation: later elements that are smaller. In each group's array; groups are small (a frame's sections)."""
     line = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("s"))

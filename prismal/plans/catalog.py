@@ -301,11 +301,6 @@ def histogram_kl(spark, d):
     return symbols.kl(hist(spark, d))
 
 
-@query()
-def histogram_clusters(spark, d):
-    return symbols.greedy_clusters(hist(spark, d), 2)
-
-
 @query(f"""WITH {SYMBOLS}, e AS (SELECT *, CASE WHEN lag(sym) OVER w = sym THEN 0 ELSE 1 END AS c FROM symbols WINDOW w AS (PARTITION BY key ORDER BY pos)), r AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY pos) AS run FROM e),
 g AS (SELECT key, run, min(pos) AS start, min(sym) AS sym, count(*) AS length FROM r GROUP BY key, run) SELECT key, start, sym, length, CAST(CASE WHEN length <= 1 THEN 0 ELSE length(bin(length - 1)) END AS BIGINT) AS cost FROM g""")
 def rle_runs(spark, d):

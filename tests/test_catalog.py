@@ -11,6 +11,7 @@ import pytest
 from prismal.plans import catalog
 from prismal.plans import extras as _extras  # noqa: F401  registers its queries
 from prismal.plans import samples as _samples  # noqa: F401  registers its queries
+from prismal.plans import searches as _searches  # noqa: F401  registers its queries
 
 DATA = os.environ.get("PRISMAL_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
