@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismal.functions.colour import ABSORBANCE, BIAS
-from prismal.operators import alias, blur, matches, scores, smoothing
+from prismal.operators import alias, blur, matches, scores, smoothing, splines
 from prismal.plans.catalog import HIST, PLANE, plane, query, table
 from prismal.plans.searches import source_histograms
+from prismal.streaming import sessions
 
 # ---- planes of three channels: the plane itself, and turned by a third and two thirds of its width
 
@@ -157,3 +158,94 @@ def alias_lookups(spark, d):
     each = found.select("ctx", "e", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("value"))
     got = each.select("ctx", alias.lookup(F.col("e"), F.col("value")).alias("g")).select("ctx", "g.*")
     return got.groupBy("ctx", "symbol").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("offsets"), F.min("offset").alias("least"), F.max("offset").alias("most"), F.max("freq").alias("freq"))
+
+
+# ---- splines: a curve of six control points per embedding, its colours and width from further numbers
+
+SIDE = 160
+
+
+def control_points(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    at = lambda k: F.round(80 + 120 * F.col("embedding")[k].cast("double"))
+    points = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), at(2 * k).alias("x"), at(2 * k + 1).alias("y")) for k in range(6)))
+    return e.select(F.col("vec_id").alias("curve"), F.explode(points).alias("p")).select("curve", "p.*")
+
+
+def strokes(spark: SparkSession, d: str) -> DataFrame:
+    term = lambda k: F.round(F.col("embedding")[k].cast("double"), 3)
+    colors = (F.array(*(term(12 + 4 * c + k) for k in range(4))).alias(f"color{c}") for c in range(3))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("curve"), *colors, F.array(F.abs(term(30)) * 2 + 0.5, term(31) / 4).alias("sigma"))
+
+
+def _marks_sql() -> str:
+    lerp = lambda a, b, ta, tb: f"({a} + ({b} - {a}) * ((t - {ta}) / ({tb} - {ta})))"
+
+    def at(c: str) -> str:
+        a1, a2, a3 = lerp(f"{c}0", f"{c}1", "0", "t1"), lerp(f"{c}1", f"{c}2", "t1", "t2"), lerp(f"{c}2", f"{c}3", "t2", "t3")
+        return lerp(lerp(a1, a2, "0", "t2"), lerp(a2, a3, "t1", "t3"), "t1", "t2")
+
+    far = lambda k: f"pow(pow(x{k + 1} - x{k}, 2) + pow(y{k + 1} - y{k}, 2), 0.25::DOUBLE)"
+    near = ", ".join(f"coalesce(lag({c}) OVER w, 2 * {c} - lead({c}) OVER w) AS {c}0, {c} AS {c}1, lead({c}) OVER w AS {c}2, coalesce(lead({c}, 2) OVER w, 2 * lead({c}) OVER w - {c}) AS {c}3" for c in "xy")
+    return f"""raw AS (SELECT vec_id AS curve, k, round(80 + 120 * CAST(embedding[2 * k + 1] AS DOUBLE)) AS x, round(80 + 120 * CAST(embedding[2 * k + 2] AS DOUBLE)) AS y FROM embeddings, (SELECT unnest(range(6)) AS k)),
+kept AS (SELECT curve, row_number() OVER (PARTITION BY curve ORDER BY k) - 1 AS k, x, y FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM raw WINDOW w AS (PARTITION BY curve ORDER BY k)) WHERE px IS NULL OR px <> x OR py <> y),
+sp AS (SELECT curve, k, {near} FROM kept WINDOW w AS (PARTITION BY curve ORDER BY k)),
+sd AS (SELECT *, {far(0)} AS d0, {far(1)} AS d1, {far(2)} AS d2 FROM sp WHERE x2 IS NOT NULL),
+sm AS (SELECT *, d0 AS t1, d0 + d1 AS t2, d0 + d1 + d2 AS t3, d0 + d1 * i / 16.0::DOUBLE AS t FROM sd, (SELECT unnest(range(16)) AS i)),
+pts AS (SELECT curve, k * 16 + i AS place, CASE WHEN i = 0 THEN x1 ELSE {at('x')} END AS x, CASE WHEN i = 0 THEN y1 ELSE {at('y')} END AS y FROM sm
+ UNION ALL SELECT curve, max(k) * 16, arg_max(x, k), arg_max(y, k) FROM kept GROUP BY curve HAVING count(*) > 1),
+own AS (SELECT *, coalesce(sqrt(pow(bx - x, 2) + pow(by_ - y, 2)), 0) AS own FROM (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM pts WINDOW w AS (PARTITION BY curve ORDER BY place))),
+upto AS (SELECT *, sum(own) OVER (PARTITION BY curve ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(own) OVER (PARTITION BY curve) AS length FROM own),
+marks AS MATERIALIZED (SELECT curve, mark, x + (bx - x) * s AS x, y + (by_ - y) * s AS y, 1.0::DOUBLE AS part, length FROM (SELECT *, CASE WHEN own > 0 THEN (mark - (upto - own)) / own ELSE 0 END AS s FROM (
+  SELECT *, unnest(range(CASE WHEN place = 0 THEN 0 ELSE CAST(floor(upto - own) AS BIGINT) + 1 END, CAST(floor(upto) AS BIGINT) + 1)) AS mark FROM upto WHERE bx IS NOT NULL))
+ UNION ALL SELECT curve, CAST(floor(length) AS BIGINT) + 1, x, y, length - floor(length), length FROM upto WHERE bx IS NULL AND length > floor(length))"""
+
+
+@query(f"WITH {_marks_sql()} SELECT curve, mark, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(part, 3) AS part FROM marks")
+def spline_marks(spark, d):
+    found = splines.marks(control_points(spark, d))
+    return found.select("curve", "mark", *((F.round(c, 3) + 0.0).alias(c) for c in ("x", "y", "part")))
+
+
+def _canvas_sql() -> str:
+    value = lambda terms: "sqrt(2.0::DOUBLE) * (" + " + ".join(f"({t}) * cos({k} * pi() / 32 * (t + 0.5))" for k, t in enumerate(terms)) + ")"
+    term = lambda k: f"round(CAST(embedding[{k + 1}] AS DOUBLE), 3)"
+    colors = ", ".join(f"{value([term(12 + 4 * c + k) for k in range(4)])} * part AS c{c}" for c in range(3))
+    p = lambda x: " + ".join(f"{c!r}::DOUBLE * pow({x}, {k})" for k, c in enumerate(splines.ERF))
+    erf = lambda x: f"(CASE WHEN {x} <= 0 THEN -1 ELSE 1 END * (1 - 1 / pow({p(f'abs({x})')}, 4)))"
+    return f"""{_marks_sql()}, br AS (SELECT x, y, {value([f"abs({term(30)}) * 2 + 0.5", f"{term(31)} / 4"])} AS sigma, {colors} FROM (SELECT m.*, embedding, least(1, mark / greatest(length, 1e-12)) * 31 AS t FROM marks m JOIN embeddings e ON e.vec_id = m.curve)),
+rc AS (SELECT *, sqrt(greatest(0, -2 * sigma * sigma * (3 * ln(0.1::DOUBLE) - ln(greatest(abs(c0), abs(c1), abs(c2), 0.01::DOUBLE))))) AS reach FROM br WHERE sigma <> 0),
+ys AS (SELECT *, unnest(range(greatest(0, CAST(floor(y - reach + 0.5) AS BIGINT)), least({SIDE}, CAST(floor(y + reach + 0.5) AS BIGINT) + 1))) AS py FROM rc),
+xs AS (SELECT *, unnest(range(greatest(0, CAST(floor(x - reach + 0.5) AS BIGINT)), least({SIDE}, CAST(floor(x + reach + 0.5) AS BIGINT) + 1))) AS px FROM ys),
+ds AS (SELECT *, sqrt(pow(px - x, 2) + pow(py - y, 2)) AS d FROM xs), fs AS (SELECT *, (0.5 * d + sqrt(0.125::DOUBLE)) / sigma AS u, (0.5 * d - sqrt(0.125::DOUBLE)) / sigma AS w FROM ds),
+gs AS (SELECT *, pow({erf('u')} - {erf('w')}, 2) * 0.25 * sigma AS weight FROM fs)"""
+
+
+@query(f"WITH {_canvas_sql()} SELECT py AS y, px AS x, round(sum(c0 * weight), 4) + 0.0 AS v0, round(sum(c1 * weight), 4) + 0.0 AS v1, round(sum(c2 * weight), 4) + 0.0 AS v2 FROM gs GROUP BY py, px HAVING abs(sum(c0 * weight)) + abs(sum(c1 * weight)) + abs(sum(c2 * weight)) > 0.001")
+def spline_canvas(spark, d):
+    brush = splines.brushes(splines.marks(control_points(spark, d)), strokes(spark, d))
+    found = splines.canvas(brush, SIDE, SIDE)
+    return found.filter(F.abs("v0") + F.abs("v1") + F.abs("v2") > 0.001).select("y", "x", *((F.round(c, 4) + 0.0).alias(c) for c in ("v0", "v1", "v2")))
+
+
+# ---- sessions of frames in a stream
+
+_FRAMES = """fr AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'add' WHEN 'click' THEN 'add' WHEN 'signup' THEN 'keep' ELSE 'replace' END AS mode, k // 4 % 4 AS source, k % 4 AS save, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS duration, v,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(round(value * 100) AS BIGINT) AS v FROM events))"""
+
+
+def session_frames(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    mode = F.when(F.col("event_type").isin("purchase", "click"), "add").when(F.col("event_type") == "signup", "keep").otherwise("replace")
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), mode.alias("mode"), F.floor(k / 4 % 4).cast("int").alias("source"), (k % 4).alias("save"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("duration"), F.round(F.col("value") * 100).cast("long").alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_FRAMES}, r AS (SELECT DISTINCT user_id, 0 AS n, NULL::BIGINT AS event_id, [0, 0, 0, 0]::BIGINT[] AS slots, 0::BIGINT AS visible, 0::BIGINT AS hidden, 0::BIGINT AS canvas FROM fr
+UNION ALL SELECT user_id, n, event_id, CASE WHEN duration = 0 OR save > 0 THEN list_transform(slots, lambda s, i: CASE WHEN i = save + 1 THEN canvas ELSE s END) ELSE slots END, CASE WHEN duration > 0 THEN visible + 1 ELSE visible END, CASE WHEN duration > 0 THEN 0 ELSE hidden + 1 END, canvas
+ FROM (SELECT r.user_id, f.n, f.event_id, r.slots, r.visible, r.hidden, f.duration, f.save, CASE f.mode WHEN 'replace' THEN v WHEN 'add' THEN r.slots[f.source + 1] + v ELSE r.slots[f.source + 1] END AS canvas FROM r JOIN fr f ON f.user_id = r.user_id AND f.n = r.n + 1))
+SELECT user_id AS session, event_id AS id, visible, hidden, canvas, '[' || array_to_string(slots, ', ') || ']' AS slots, false AS late FROM r WHERE n > 0""")
+def stream_session_slots(spark, d):
+    """The events arrive in files out of order; the rows are those of a batch in order."""
+    folder = sessions.arrived(session_frames(spark, d), 5)
+    return sessions.run(spark, folder, sessions.SCHEMA, "15 days").filter("session >= 0")
