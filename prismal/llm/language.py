@@ -6,11 +6,12 @@ product over its words. Distinct words are scored once per batch and cached.
 
 Defined results: `und` and score 0 where a text is null or has no letter; with nothing to learn from, `und` throughout;
 a null language is never learned; repeated rows get equal rows; other columns are ignored. A letter is a character of a Unicode category L; what is left of a run of other word characters is apart.
-Segmentations are summed over the whole of a word, however long; only for fitting are runs of over 32 letters taken in parts. Ties go to the language that comes first in the alphabet.
+Segmentations are summed over the whole of a word, however long, in fitting and in scoring (by logarithms over 32 letters). Ties go to the language that comes first in the alphabet.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismal.llm.common import drop_table, table
+
 RUNS = re.compile(r"[^\W\d_]+").findall
 PART, UNKNOWN = 32, 1e-8
 
@@ -46,6 +49,18 @@ def pieces(path: str) -> list[str]:
     return sorted(p for p in found if letters(p.removeprefix("▁")) == [p.removeprefix("▁")] or p == "▁")
 
 
+def posterior(edges: list[tuple[int, int, int]], size: int, prob: list[float]) -> Iterator[tuple[int, float]]:
+    """(piece, expected count) of each edge of a long word's lattice; sums are kept as logarithms."""
+    a, b, lp = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf), {k: math.log(max(prob[k], 1e-300)) for _, _, k in edges}
+    a[0] = b[size] = 0.0
+    for i, j, k in edges:
+        a[j] = np.logaddexp(a[j], a[i] + lp[k])
+    for i, j, k in reversed(edges):
+        b[i] = np.logaddexp(b[i], lp[k] + b[j])
+    for i, j, k in edges:
+        yield k, math.exp(a[i] + lp[k] + b[j] - b[0])
+
+
 class Model:
     def __init__(self, langs: list[str], vocabulary: list[str]) -> None:
         self.langs = langs
@@ -67,8 +82,7 @@ class Model:
 
     def fit(self, counts: dict[str, dict[str, int]], rounds: int = 4) -> None:
         for at, lang in enumerate(self.langs):
-            cut = [(w[i : i + PART], n) for w, n in counts[lang].items() for i in range(0, len(w), PART)]
-            lattices = [(self.edges(w), len(w), n) for w, n in cut]
+            lattices = [(self.edges(w), len(w), n) for w, n in counts[lang].items()]
             p = np.full(len(self.p), 1e-4)
             for edges, _, n in lattices:
                 for i, j, k in edges:
@@ -78,6 +92,10 @@ class Model:
                 p[0] = UNKNOWN
                 got, prob = defaultdict(float), p.tolist()
                 for edges, size, n in lattices:
+                    if size > PART:
+                        for k, share in posterior(edges, size, prob):
+                            got[k] += n * share
+                        continue
                     a, b = [1.0] + [0.0] * size, [0.0] * size + [1.0]
                     for i, j, k in edges:
                         a[j] += a[i] * prob[k]
@@ -115,7 +133,6 @@ class Model:
             out[at] = np.log(np.maximum(alpha[size], 1e-300))
         return out
 
-
     def long_likelihood(self, word: str) -> np.ndarray:
         """The same for one long word, by logarithms of the sums at the last places."""
         sums = [np.zeros(self.p.shape[1])]
@@ -175,14 +192,22 @@ def groups(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
 
 
 def sample(df: DataFrame, n: int) -> DataFrame:
-    """lang, text of at most n distinct rows, or one per language if those are more. Languages take turns, each in the order of a hash of its texts."""
-    known = df.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "lang").alias("h"))
-    turns = Window.partitionBy("lang").orderBy("h")
-    distinct = known.select("lang", "h").distinct()
-    langs = known.select("lang").distinct().count()
-    ranked = distinct.withColumn("turn", F.row_number().over(turns)).filter(F.col("turn") <= n)
-    chosen = ranked.orderBy("turn", "h", "lang").limit(max(n, langs)).select("lang", "h")
-    return known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+    """lang, text of at most n distinct rows, or one per language if those are more. Languages take turns, each in the order of a hash of its texts.
+
+    Distinct hashes are counted by language first, and of a language with over 2 n only about 1.2 n, those that come first, are ordered.
+    """
+    span = 1 << 40
+    known = df.filter("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("text", "lang"), F.lit(span)).alias("h"))
+    distinct = table(known.select("lang", "h").distinct(), "text-hashes")
+    counts = table(distinct.groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    first = F.when(F.col("texts") > 2 * n, F.col("h") < F.floor(F.lit(span * 1.2 * n) / F.col("texts"))).otherwise(F.lit(True))
+    thinned = distinct.join(counts, "lang").filter(first).select("lang", "h")
+    ranked = thinned.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("turn") <= n)
+    chosen = table(ranked.orderBy("turn", "h", "lang").limit(max(n, counts.count())).select("lang", "h"), "chosen")
+    found = table(known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text"), "sample")
+    for t in (distinct, counts, chosen):
+        drop_table(t)
+    return found
 
 
 def train(df: DataFrame, vocabulary: str, sample_docs: int = 4000) -> Model:
