@@ -41,6 +41,13 @@ def floor_percentiles(df: DataFrame, group: str, value: str, points: list[int])
     return ranked.groupBy(group).agg(*(F.max(F.when(F.col("k") == F.floor(F.lit(p) * F.col("n") / 100), F.col(value))).alias(f"p{p}") for p in points))
 
 
+def worst(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Median and the values that a tenth and a twentieth are at or over, sorted[floor(q n)]; from two, ten and twenty values on, else null."""
+    found = floor_percentiles(df, group, value, [50, 90, 95]).join(df.groupBy(group).agg(F.count("*").alias("n")), group)
+    gate = lambda c, least: F.when(F.col("n") >= least, F.col(c))
+    return found.select(group, "n", gate("p50", 2).alias("median"), gate("p90", 10).alias("worst10"), gate("p95", 20).alias("worst5"))
+
+
 def geometric(df: DataFrame, group: str, value: str) -> DataFrame:
     """Geometric mean of the positive values."""
     found = df.groupBy(group).agg(F.avg(F.when(F.col(value) > 0, F.log2(value))).alias("m"), F.count_if(F.col(value) > 0).alias("n"))
@@ -56,6 +63,28 @@ def speeds(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame
     return found.select(group, "n", F.round(F.exp("m"), 4).alias("speed"), "low", "high")
 
 
+def tendency(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """kind, central and spread of a group's repetitions: the only one, the second of two, the geometric mean without the first, or, where the first
+    to the power of their number leaves 10^100, the median with the root of the squared differences from it."""
+    w = Window.partitionBy(group)
+    ranked = df.select(group, F.col(value).cast("double").alias("t"), F.row_number().over(w.orderBy(*order)).alias("k"), (F.row_number().over(w.orderBy(value, *order)) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    ranked = ranked.withColumn("median", F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("t"))).over(w))
+    found = ranked.groupBy(group).agg(
+        F.max("n").alias("n"),
+        F.max(F.when(F.col("k") == 1, F.col("t"))).alias("first"),
+        F.max(F.when(F.col("k") == 2, F.col("t"))).alias("second"),
+        F.avg(F.when(F.col("k") > 1, F.ln("t"))).alias("logs"),
+        F.max("median").alias("median"),
+        F.sqrt(F.sum((F.col("t") - F.col("median")) * (F.col("t") - F.col("median")))).alias("spread"),
+    )
+    kind = F.when(F.col("n") == 1, "only").when(F.col("n") == 2, "second").when(F.col("n") * F.log10("first") < 100, "geomean").otherwise("median")
+    central = {"only": "first", "second": "second", "median": "median"}
+    picked = F.when(F.col("kind") == "geomean", F.exp("logs"))
+    for k, c in central.items():
+        picked = picked.when(F.col("kind") == k, F.col(c))
+    return found.withColumn("kind", kind).select(group, "n", "kind", F.round(picked, 4).alias("central"), F.round(F.when(F.col("kind") == "median", F.col("spread")).otherwise(0.0), 4).alias("spread"))
+
+
 def regressions(df: DataFrame, group: str, order: list[str], value: str, percent: float = 5.0) -> DataFrame:
     """Each value against the one before in its group; flagged where it moved over `percent`."""
     before = F.lag(value).over(Window.partitionBy(group).orderBy(*order))

@@ -10,6 +10,7 @@ import pytest
 
 from prismal.plans import catalog
 from prismal.plans import extras as _extras  # noqa: F401  registers its queries
+from prismal.plans import blocks as _blocks  # noqa: F401  registers its queries
 from prismal.plans import filters as _filters  # noqa: F401  registers its queries
 from prismal.plans import samples as _samples  # noqa: F401  registers its queries
 from prismal.plans import searches as _searches  # noqa: F401  registers its queries
