@@ -60,13 +60,23 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _views(column: pa.Array, dtype: str = "u8") -> Iterator[np.ndarray]:
+    """The values of a binary column as arrays over its own buffer, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "i4")[column.offset : column.offset + len(column) + 1].tolist()
+    values = np.frombuffer(data, "u1") if data is not None else np.zeros(0, "u1")
+    for i in range(len(column)):
+        part = values[at[i] : at[i + 1]]
+        yield part.view(dtype) if part.ctypes.data % 8 == 0 else np.frombuffer(part.tobytes(), dtype)
+
+
 SET_ROWS = "doc_id long, n long, node long, key long, token long, count long, slice int, cells binary"
 SLICES = 64
 #: Representatives of a group in each round of tries, and tokens of a node that rounds with several use.
 REPS, TRY_TOKENS = (1, 8, 32), 3
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of documents (doc_id, n, node, key of the text), of tokens that repeat among the sets of this part (token, count), and of
 
     the cells that the tokens of this part hit, by slices of the bitmap (steps between sorted cells).
@@ -183,16 +193,14 @@ def _prefix(s: np.ndarray, salt: np.uint64, percent: int) -> np.ndarray:
 def _both_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs u, v whose prefixes meet under each further order."""
     for b in batches:
-        pu, qu, pv, qv = (b.column(k).to_pylist() for k in range(2, 6))
-        keep = [all(len(np.intersect1d(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), assume_unique=True)) for x, y in ((pu[i], pv[i]), (qu[i], qv[i]))) for i in range(len(pu))]
+        keep = [all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in ((pu, pv), (qu, qv))) for pu, qu, pv, qv in zip(*(_views(b.column(k)) for k in range(2, 6)), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+        for x, y in zip(_views(b.column(2)), _views(b.column(3)), strict=True):
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
