@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from prismal.operators import metrics, regions, transforms
+from prismal.operators import metrics, patches, regions, transforms
 
 
 def test_blocks_of_any_size_transform_and_come_back(spark):
@@ -47,3 +47,20 @@ def test_var_ints_to_the_greatest_long(spark):
     for r in found:
         assert sum((b & 127) << (7 * i) for i, b in enumerate(r.b)) == r.v
         assert [b >> 7 for b in r.b] == [1] * (len(r.b) - 1) + [0] and (len(r.b) == 1 or r.b[-1])
+
+
+def test_patches_lie_in_order_and_end_at_borders(spark):
+    cells = [(img, y, x, 100 * img + 10 * y + x) for img in (0, 1) for y in range(9) for x in range(9)]
+    planes = spark.createDataFrame(cells, "img long, y long, x long, v long").repartition(3)
+    laid = [(0, 1, 2, 3, 4, 4, 1, 0, 0, "replace"), (0, 2, 4, 5, 30, 30, 1, 1, 1, "add"), (0, 3, 0, 0, 2, 1, 1, 8, 8, "mul"), (0, 4, 5, 5, 0, 3, 1, 0, 0, "replace"), (1, 0, -2, -1, 4, 3, 0, 0, 0, "replace"), (7, 0, 0, 0, 3, 3, 1, 0, 0, "replace")]
+    df = spark.createDataFrame(laid, "img long, k long, x0 long, y0 long, w long, h long, ref long, rx long, ry long, mode string")
+    grid = {c[:3]: c[3] for c in cells}
+    want = dict(grid)
+    for img, _, x0, y0, w, h, ref, rx, ry, mode in sorted(laid, key=lambda p: (p[0], p[1])):
+        for y, x in itertools.product(range(y0, y0 + h), range(x0, x0 + w)):
+            top = grid.get((ref, ry + y - y0, rx + x - x0))
+            if (img, y, x) in want and top is not None:
+                v = want[img, y, x]
+                want[img, y, x] = top if mode == "replace" else v + top if mode == "add" else round(v * top / 1000)
+    found = patches.overlay(planes, planes.withColumnRenamed("img", "ref"), df, 4).collect()
+    assert {(r.img, r.y, r.x): r.v for r in found} == want and len(found) == len(cells)
