@@ -23,11 +23,13 @@ from __future__ import annotations
 import functools
 import itertools
 import random
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import few, fresh, let, table
+from prismal.llm import common
+from prismal.llm.common import fresh, let, table
 from prismal.llm.components import components
 
 #: Odd numbers under 2^31: multiplied by one of them, modulo 2^32, hashes stand in another order.
@@ -41,6 +43,9 @@ REPS = (1, 8, 32)
 #: Words of 64 bits in a line's bitmap.
 WORDS = 48
 
+#: The small side of a join is broadcast up to 8 MB: this operator joins often, and the driver holds what it broadcasts until it is collected.
+few = partial(common.few, limit=8 << 20)
+
 
 def normalised(text: Column) -> Column:
     """Of a whole text: lower case, blanks within a line collapsed. The regular expression runs only where it can change something."""
