@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import itertools
 import random
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +43,7 @@ REPS = (1, 8, 32)
 WORDS = 48
 
 #: The small side of a join is broadcast up to 8 MB: this operator joins often, and the driver holds what it broadcasts until it is collected.
-few = partial(common.few, limit=8 << 20)
+few = functools.partial(common.few, limit=8 << 20)
 
 
 def normalised(text: Column) -> Column:
