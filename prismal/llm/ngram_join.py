@@ -4,7 +4,7 @@ A set's prefix under an order holds so many of its first tokens that two sets wh
 threshold share one there, whatever the order is. The first order puts n-grams first whose cell, in a bitmap over all documents,
 was hit once: they stand in one set only and can't be shared, so a set with enough of them has nothing to join. N-grams that
 repeat inside a part of the input come last; ties follow a 64-bit hash. What is left of the prefixes is joined. A pair stands only if the number of shared prefix tokens
-leaves room for the overlap it needs (length and positional bounds), and if its prefixes under two further orders
+leaves room for the overlap it needs (length and positional bounds) and so do the parities of both sets, and if its prefixes under two further orders
 also meet: those prefixes alone are fetched for that, and whole sets only for the pairs that all three orders leave. Then the overlap is counted.
 
 Copies of one set are one node. Links serve components: in each group of a shared token, members are first tried
@@ -74,6 +74,9 @@ SET_ROWS = "doc_id long, n long, node long, key long, token long, count long, sl
 SLICES = 64
 #: Representatives of a group in each round of tries, and tokens of a node that rounds with several use.
 REPS, TRY_TOKENS = (1, 8, 32), 3
+#: Words of 64 bits of a set's parities. A bit says whether an odd number of the set's tokens has its place.
+PARITY = 16
+PARITIES = [f"b{k}" for k in range(PARITY)]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -175,12 +178,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, late: tup
         )
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITY words. Where those of two sets differ in a bit, a token of that place is in one of the sets only."""
+    cell = ((s ^ (s >> np.uint64(29))) * MIX >> np.uint64(32)) % np.uint64(64 * PARITY)
+    return np.packbits(np.bincount(cell.astype("i8"), minlength=64 * PARITY) & 1 == 1).view("<i8")
+
+
 def _blobs(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted nodes, and their prefixes under the further orders."""
+    """Sets of the wanted nodes, their prefixes under the further orders, and their parities."""
     for b in batches:
         sets = [(k, s) for k, s in zip(b.column(0).to_pylist(), (shingles(t, n) for t in _binary(b.column(1))), strict=True) if len(s) and node_of(s) == k]
         prefixes = [pa.array([_prefix(s, salt, percent).tobytes() for _, s in sets], pa.binary()) for salt in SALTS]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), *prefixes, pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "p", "q", "s"])
+        bits = np.array([parities(s) for _, s in sets], "i8").reshape(len(sets), PARITY)
+        columns = [pa.array([k for k, _ in sets], pa.int64()), *prefixes, pa.array([s.tobytes() for _, s in sets], pa.binary()), *(pa.array(bits[:, k]) for k in range(PARITY))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "p", "q", "s", *PARITIES])
 
 
 def _prefix(s: np.ndarray, salt: np.uint64, percent: int) -> np.ndarray:
@@ -217,6 +228,12 @@ def _near(x: str, y: str, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & fits(n, m, F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1), percent)
 
 
+def _room(x: str, y: str, percent: int) -> Column:
+    """Whether the parities allow the threshold: bits that differ are tokens that only one of the sets holds."""
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in PARITIES[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
@@ -241,32 +258,33 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.withColumn("a", F.min("c").over(w)).withColumn("b", F.max("c").over(w)).filter("a <> b").drop("a", "b")
 
 
-def _several(placed: DataFrame, percent: int, turn: int, reps: int) -> DataFrame:
+def _several(placed: DataFrame, percent: int, turn: int, reps: int, bits: DataFrame) -> DataFrame:
     """Pairs of a node with up to reps members of its groups that are in another component. Near copies pick the same
 
     tokens, those of the least hashes, so a few tokens of each node do.
     """
     of_node = Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)))
-    few = table(_mixed(placed).withColumn("i", F.row_number().over(of_node)).filter(F.col("i") <= TRY_TOKENS).drop("i"), "tries")
+    tries = table(_mixed(placed).withColumn("i", F.row_number().over(of_node)).filter(F.col("i") <= TRY_TOKENS).drop("i").join(few(bits), "node"), "tries")
     of_token = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    chosen = few.withColumn("i", F.row_number().over(of_token)).filter(F.col("i") <= reps).drop("i")
-    met = few.alias("x").join(chosen.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", percent))
+    chosen = tries.withColumn("i", F.row_number().over(of_token)).filter(F.col("i") <= reps).drop("i")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", percent)
+    met = tries.alias("x").join(chosen.alias("y"), apart & _room("x", "y", percent))
     return met.select(*_pair("x.node", "y.node")).distinct()
 
 
-def _first_met(mixed: DataFrame, percent: int) -> DataFrame:
+def _first_met(mixed: DataFrame, percent: int, bits: DataFrame) -> DataFrame:
     """Every pair of nodes in different components that shares a prefix token and has room for its overlap, met once: at
 
     the first token that both prefixes hold.
     """
     side = table(mixed, "mixed")
     own = side.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    full = side.join(own.select("node", F.col("own.token").alias("tokens"), F.col("own.pos").alias("places")), "node")
+    full = side.join(own.select("node", F.col("own.token").alias("tokens"), F.col("own.pos").alias("places")), "node").join(few(bits), "node")
     both = F.array_intersect("x.tokens", "y.tokens")
     after = F.least(*(F.col(f"{a}.n") - F.get(f"{a}.places", (F.array_position(f"{a}.tokens", F.element_at(both, -1)) - 1).cast("int")) - 1 for a in ("x", "y")))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
     once = F.element_at(both, 1) == F.col("x.token")
-    met = full.alias("x").join(full.alias("y"), apart & _near("x", "y", percent) & once & fits(F.col("x.n"), F.col("y.n"), F.size(both) + after, percent))
+    met = full.alias("x").join(full.alias("y"), apart & _near("x", "y", percent) & _room("x", "y", percent) & once & fits(F.col("x.n"), F.col("y.n"), F.size(both) + after, percent))
     return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
@@ -311,7 +329,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
     nodes = table(groups.select("node").distinct(), "nodes")
     held = table(own.join(few(nodes), "node").groupBy("key").agg(F.min("node").alias("node")).select("node", "key"), "held")
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(few(held), "key").select("node", "text")
-    blobs = table(texts.mapInArrow(partial(_blobs, n=n, percent=percent), "node long, p binary, q binary, s binary").dropDuplicates(["node"]), "blobs")
+    blobs = table(texts.mapInArrow(partial(_blobs, n=n, percent=percent), "node long, p binary, q binary, s binary, " + ", ".join(f"{b} long" for b in PARITIES)).dropDuplicates(["node"]), "blobs")
+
+    bits_of = blobs.select("node", *PARITIES)
 
     def side(name: str, *columns: str) -> DataFrame:
         return blobs.select(F.col("node").alias(name), *(F.col(c).alias(c + name) for c in columns))
@@ -327,14 +347,14 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, demoted: int = 1_000
     for turn, reps in enumerate(REPS):
         placed = groups if comp is None else groups.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
         placed = placed.select("token", "node", "n", "pos", F.col("node" if comp is None else "c").alias("c"))
-        pairs = (_best if reps == 1 else partial(_several, reps=reps))(placed, percent, turn)
+        pairs = (_best if reps == 1 else partial(_several, reps=reps, bits=bits_of))(placed, percent, turn)
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = verify(pairs)
         links = found if links is None else links.union(found)
         comp = table(components(links), "components")
     placed = groups.join(comp, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    more = verify(table(_first_met(_mixed(placed), percent).join(tried, ["u", "v"], "left_anti"), "pairs"))
+    more = verify(table(_first_met(_mixed(placed), percent, bits_of).join(tried, ["u", "v"], "left_anti"), "pairs"))
     comp = table(components(links.union(more)), "components")
     placed_docs = own.join(comp, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = placed_docs.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
