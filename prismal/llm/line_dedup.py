@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.llm import common
-from prismal.llm.common import fresh, let, table
+from prismal.llm.common import drop_table, fresh, let, scratch, table
 from prismal.llm.components import components
 
 #: Odd numbers under 2^31: multiplied by one of them, modulo 2^32, hashes stand in another order.
@@ -39,8 +39,8 @@ LOW = 0xFFFFFFFF
 STEP, WIDE = 4, 4
 #: Representatives of a band in each round of tries.
 REPS = (1, 8, 32)
-#: Words of 64 bits in a line's bitmap.
-WORDS = 48
+#: Words of 64 bits in a line's bitmap, whose bits say whether an odd number of shingles has that place.
+WORDS = 16
 
 #: The small side of a join is broadcast up to 8 MB: this operator joins often, and the driver holds what it broadcasts until it is collected.
 few = functools.partial(common.few, limit=8 << 20)
@@ -80,10 +80,10 @@ def signatures(lines: DataFrame, width: int) -> DataFrame:
 
 
 def bitmaps(lines: DataFrame, width: int) -> DataFrame:
-    """line, b0, b1, ... (WORDS words with a bit for each shingle's hash), size (number of distinct shingles) of distinct lines (line, norm)."""
+    """line, b0, b1, ... (WORDS words, each shingle's hash turning a bit over), size (number of distinct shingles) of distinct lines (line, norm)."""
     own = lines.repartition("line").select("line", F.explode(shingles(F.col("norm"), width)).alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
-    words = own.groupBy("line", F.pmod(F.shiftright("x", 6), F.lit(WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
+    words = own.groupBy("line", F.pmod(F.shiftright("x", 6), F.lit(WORDS)).alias("w")).agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("n"))
     parts = (F.bit_or(F.when(F.col("w") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS))
     return words.groupBy("line").agg(F.sum("n").alias("size"), *parts)
 
@@ -139,6 +139,8 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     wanted = table(rest.select("line").distinct(), "wanted")
     texts = table(lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
     sketch = table(bitmaps(texts, width).join(signed.join(few(wanted), "line", "left_semi"), "line"), "bitmaps")
+    for t in (signed, shared_keys, wanted):
+        drop_table(t)
 
     def room(x: str, y: str) -> Column:
         differ = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
@@ -173,7 +175,9 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     for turn, reps in enumerate((*REPS, None)):
         mixed = table(_mixed(rest, comp), "mixed")
         if turn:
-            mixed = table(_outside(mixed), "outside")
+            plain = mixed
+            mixed = table(_outside(plain), "outside")
+            drop_table(plain)
         asked = mixed.filter("out") if turn else mixed
         chosen = mixed
         if reps:
@@ -184,6 +188,7 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
         pairs = apart(asked, chosen, turn, not reps)
         pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
+        drop_table(mixed)
         new = verify(pairs)
         comp = table(components(new) if comp is None else _joined(comp, new), "components")
     return comp
@@ -205,7 +210,9 @@ def duplicates(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_cha
 def dedup(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: int = 20, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs with their texts rid of repeated lines; all columns and two more, the counts of lines before and of those removed."""
     i, k, g = fresh(docs, "_id", "_key", "_gone")
-    found = table(duplicates(docs, width, threshold, min_chars), "gone").select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("gone").alias(g))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(table(duplicates(docs, width, threshold, min_chars), "gone"))
+    found = found.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("gone").alias(g))
     same = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(k))
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, at: ~F.array_contains(F.col(g), at)), "\n")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.llm.common import few, fresh, table
+from prismal.llm.common import few, fresh, scratch, table
 from prismal.llm.components import components
 
 MIX, SALTS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -367,7 +367,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     and a text with another become one; a null id is a component of its own.
     """
     (i,) = fresh(docs, "_id")
-    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct()
-    kept = docs.join(table(found, "firsts"), F.col("doc_id") == F.col(i), "left_semi").union(docs.filter("doc_id is null"))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(table(classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct(), "firsts"))
+    kept = docs.join(found, F.col("doc_id") == F.col(i), "left_semi").union(docs.filter("doc_id is null"))
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
