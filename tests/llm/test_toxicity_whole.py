@@ -20,11 +20,12 @@ def test_words_of_every_labelled_row_are_learnt(spark):
     assert model.thresholds.keys() == {"en"}
 
 
-def test_a_word_that_three_rows_hold_is_known(spark):
-    """Three rows in 3,000 hold it: whichever rows a sample takes, all that aren't set aside count."""
-    rows = [(k, f"plain text number{chr(97 + k % 26)}" + (" vile" if k % 3 == 0 else ""), "en", int(k % 3 == 0)) for k in range(6000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
-    kept = [r.doc_id for r in df.filter("pmod(xxhash64(doc_id), 5) <> 0").select("doc_id").collect()]
-    marked = df.selectExpr("doc_id", f"case when doc_id in ({', '.join(str(k) for k in sorted(kept)[-3:])}) then concat(text, ' seldom') else text end as text", "lang", "toxic")
-    model = toxicity.train(marked, df.select("doc_id", "toxic"), epochs=1)
-    assert toxicity.bucket("seldom") in model.rows
+def test_words_of_eight_rows_among_many_are_known(spark):
+    """Each of ten words is in eight rows of 12,000 that aren't set aside: all ten have embeddings of their own only if every row counts."""
+    df = spark.range(12_000).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic", "pmod(xxhash64(id), 5) <> 0 as kept")
+    kept = sorted(r.doc_id for r in df.filter("kept").collect())[:80]
+    words = [f"seldom{'abcdefghij'[k]}" for k in range(10)]
+    held = {d: words[k % 10] for k, d in enumerate(kept)}
+    rows = [(k, "plain text " + held.get(k, "") + (" vile" if k % 3 == 0 else ""), "en") for k in range(12_000)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), df.select("doc_id", "toxic"), epochs=1)
+    assert all(toxicity.bucket(w) in model.rows for w in words)
