@@ -8,10 +8,11 @@ however few its shingles. Lines that meet in a band are compared by bitmaps of t
 differ, so a pair with too many of them can't reach the threshold. The rest is verified by the exact Jaccard similarity. Links are
 joined by distributed union-find (star contraction); the line that comes first (document id, text, position) stays, the others are removed.
 
-Equal lines are one line from the start. Lines that meet in a band are tried with one representative of the band; those outside the band's
-largest component with 8 and 32; after that each of those with every line of the band that is in another component, so no link of a chain
-is left out. Representatives and mixed bands are found by aggregates that are summed before they are dealt, and looked up by
-joins that Spark can split, so a band that holds a third of all lines isn't gathered in a task. DataFrame functions only.
+Equal lines are one line from the start. The two or three lines that most bands hold are told by the band's sums, and compared. In larger bands the
+lines outside the band's largest component are tried with one representative of the band, then with 8 and 32; after that, or as soon as it takes at most
+`AFFORDABLE` pairs a line of the corpus, each of those with every line of the band that is in another component, so no link of a chain is left out. Representatives
+and mixed bands are found by aggregates that are summed before they are dealt, and looked up by joins that Spark can split, so a band that
+holds a third of all lines isn't gathered in a task. DataFrame functions only.
 
 Defined results: null texts stay null; empty texts stay; a text may lose all its lines and is then empty (the row stays);
 rows that repeat both an id and a text are one document and keep the same lines; a null id comes first; an empty table gives no row;
@@ -39,6 +40,8 @@ LOW = 0xFFFFFFFF
 STEP, WIDE = 4, 4
 #: Representatives of a band in each round of tries.
 REPS = (1, 8, 32)
+#: After the first round of tries all pairs that are left are compared as soon as there are no more of them than this many a line of the corpus.
+AFFORDABLE = 4
 #: Words of 64 bits in a line's bitmap, whose bits say whether an odd number of shingles has that place.
 WORDS = 16
 
@@ -99,22 +102,15 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return each.withColumn("norm", F.trim("raw")).filter(F.length("norm") >= min_chars).select("doc_id", "text_key", "pos", "norm", F.xxhash64("norm").alias("line"))
 
 
-def _mixed(keys: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """bucket, line, c (component) of the buckets whose lines are in more than one component."""
-    if comp is None:
-        placed = keys.withColumn("c", F.col("line"))
-    else:
-        placed = keys.join(few(comp), F.col("line") == F.col("node"), "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    return placed.join(few(table(mixed, "mixed-buckets")), "bucket", "left_semi")
-
-
-def _outside(mixed: DataFrame) -> DataFrame:
-    """mixed with a column out: whether a row is not in the largest component of its bucket."""
-    sizes = mixed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    # the largest: by size, then by the component's number
-    most = sizes.groupBy("bucket").agg(F.max("n").alias("n")).join(sizes, ["bucket", "n"]).groupBy("bucket").agg(F.min("c").alias("most"))
-    return mixed.join(few(table(most, "largest")), "bucket").select("bucket", "line", "c", (F.col("c") != F.col("most")).alias("out"))
+def _mixed(rest: DataFrame, comp: DataFrame) -> tuple[DataFrame, int]:
+    """bucket, line, c (component), out (whether c is not the largest of the bucket) of the buckets whose lines are in more than one component, and
+    how many pairs the lines outside would make with all of their bucket."""
+    placed = rest.join(few(comp), F.col("line") == F.col("node"), "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
+    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("c", "n").alias("most"), F.max("n").alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = table(mixed.select("bucket", "most", (F.col("n") * (F.col("n") - F.col("top"))).alias("pairs")), "mixed-buckets")
+    cost = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    return placed.join(few(mixed), "bucket").select("bucket", "line", "c", (F.col("c") != F.col("most")).alias("out")), cost
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -134,18 +130,22 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     """node, component of every line of lines (line, norm) that has a link; a line may stand in many rows."""
     signed = table(signatures(lines, width), "signatures")
     keys = buckets(signed)
-    shared_keys = table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared-buckets")
-    rest = table(keys.join(few(shared_keys), "bucket", "left_semi"), "buckets")
-    wanted = table(rest.select("line").distinct(), "wanted")
+    met = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor("line").alias("all")).filter("n > 1")
+    met = table(met, "shared-buckets")
+    # two or three lines of a bucket are told by its sums, so only the larger buckets' lines are looked up
+    mid = F.col("low").bitwiseXOR(F.col("high")).bitwiseXOR(F.col("all"))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    two = F.array(pair(F.col("low"), F.col("high")))
+    three = F.array(pair(F.col("low"), F.col("high")), pair(F.col("low"), mid), pair(mid, F.col("high")))
+    tried = table(met.filter("n <= 3").select(F.inline(F.when(F.col("n") == 2, two).otherwise(three))).distinct(), "pairs")
+    large = table(met.filter("n > 3").select("bucket"), "large-buckets")
+    rest = table(keys.join(few(large), "bucket", "left_semi"), "buckets")
+    wanted = table(rest.select("line").union(tried.select("u")).union(tried.select("v")).distinct(), "wanted")
     texts = table(lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
-    sketch = table(bitmaps(texts, width).join(signed.join(few(wanted), "line", "left_semi"), "line"), "bitmaps")
-    for t in (signed, shared_keys, wanted):
+    n_lines = signed.count()
+    for t in (signed, met, large, wanted):
         drop_table(t)
 
-    def room(x: str, y: str) -> Column:
-        differ = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-        return (1 + threshold) * differ <= (1 - threshold) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-6
-
     def verify(pairs: DataFrame) -> DataFrame:
         """Those whose similarity reaches the threshold. Texts travel, which are shorter than their shingles."""
         both = pairs.join(texts.select(F.col("line").alias("u"), F.col("norm").alias("nu")), "u").join(texts.select(F.col("line").alias("v"), F.col("norm").alias("nv")), "v")
@@ -154,43 +154,50 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
         reached = F.exists(shared, lambda s: s["n"] >= threshold * (s["total"] - s["n"]))
         return table(both.filter(reached).select("u", "v"), "links")
 
-    # the bucket of the first band that a pair shares
-    same = (functools.reduce(Column.__and__, (F.col(f"x.m{j}") == F.col(f"y.m{j}") for j in band), F.lit(True)) for band in BANDS)
-    met_first = F.coalesce(*(F.when(agree, F.xxhash64(F.lit(b), *(F.col(f"x.m{j}") for j in band))) for (b, band), agree in zip(enumerate(BANDS), same, strict=True)))
+    comp = table(components(verify(tried)), "components")
+    if rest.isEmpty():
+        return comp
+    inside = table(rest.select("line").distinct(), "inside")
+    sketch = table(bitmaps(texts.join(few(inside), "line", "left_semi"), width), "bitmaps")
+    drop_table(inside)
+
+    def room(x: str, y: str) -> Column:
+        differ = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+        return (1 + threshold) * differ <= (1 - threshold) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-6
 
-    def apart(x: DataFrame, y: DataFrame, turn: int, last: bool) -> DataFrame:
-        """Pairs of x and y (bucket, line, c) that share a bucket, stand in different components and have room for the threshold."""
+    def apart(x: DataFrame, y: DataFrame, reps: int | None) -> DataFrame:
+        """Pairs of x and y (bucket, line, c, out) that share a bucket, stand in different components and have room for the threshold."""
         near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c"))
         pair = [F.least("x.line", "y.line").alias("u"), F.greatest("x.line", "y.line").alias("v")]
-        if turn == 0:  # a row has one partner: pairs are fewer than rows
+        if reps == 1:  # a row has one partner: pairs are fewer than rows
             met = x.alias("x").join(y.alias("y"), near).select(*pair).distinct()
             return met.join(few(sketch).alias("x"), F.col("x.line") == F.col("u")).join(few(sketch).alias("y"), F.col("y.line") == F.col("v")).filter(room("x", "y")).select("u", "v")
-        near = near & room("x", "y")
-        if last:  # all pairs: each is met once, in the first bucket that it shares, from one side
-            near = near & (~F.col("y.out") | (F.col("x.line") < F.col("y.line"))) & (F.col("x.bucket") == met_first)
+        if not reps:  # all pairs of a bucket, from one side
+            near = near & (~F.col("y.out") | (F.col("x.line") < F.col("y.line")))
         x, y = (z.join(few(sketch), "line") for z in (x, y))
-        return x.alias("x").join(y.alias("y"), near).select(*pair).distinct()
+        return x.alias("x").join(y.alias("y"), near & room("x", "y")).select(*pair).distinct()
 
-    comp, tried = None, None
     for turn, reps in enumerate((*REPS, None)):
-        mixed = table(_mixed(rest, comp), "mixed")
-        if turn:
-            plain = mixed
-            mixed = table(_outside(plain), "outside")
-            drop_table(plain)
-        asked = mixed.filter("out") if turn else mixed
+        found, cost = _mixed(rest, comp)
+        if not cost:
+            break
+        mixed = table(found, "mixed")
+        if turn and cost <= AFFORDABLE * n_lines:
+            reps = None
         chosen = mixed
         if reps:
             # the least line of each of `reps` parts of a bucket, under an order of this turn
             salt, part = F.xxhash64(F.lit(turn)), F.pmod(F.xxhash64("line", F.lit(turn)), F.lit(reps))
             chosen = mixed.groupBy("bucket", part.alias("part")).agg(F.min(F.col("line").bitwiseXOR(salt)).alias("m"))
             chosen = chosen.select("bucket", F.col("m").bitwiseXOR(salt).alias("line")).join(mixed, ["bucket", "line"])
-        pairs = apart(asked, chosen, turn, not reps)
-        pairs = table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        pairs = table(apart(mixed.filter("out"), chosen, reps).join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
         drop_table(mixed)
         new = verify(pairs)
-        comp = table(components(new) if comp is None else _joined(comp, new), "components")
+        if not new.isEmpty():
+            comp = table(_joined(comp, new), "components")
+        if not reps:
+            break
     return comp
 
 
