@@ -41,7 +41,9 @@ STEP, WIDE = 4, 4
 #: Representatives of a band in each round of tries.
 REPS = (1, 8, 32)
 #: After the first round of tries all pairs that are left are compared as soon as there are no more of them than this many a line of the corpus.
-AFFORDABLE = 4
+AFFORDABLE = 16
+#: Bytes of removed lines that are broadcast to the documents at most.
+BROADCAST = 32 << 20
 #: Words of 64 bits in a line's bitmap, whose bits say whether an odd number of shingles has that place.
 WORDS = 16
 
@@ -49,13 +51,12 @@ WORDS = 16
 few = functools.partial(common.few, limit=8 << 20)
 
 
-def normalised(text: Column) -> Column:
-    """Of a whole text: lower case, blanks within a line collapsed. The regular expression runs only where it can change something."""
-    low = F.lower(text)
-    blanks = low.contains("  ")
+def collapsed(text: Column) -> Column:
+    """Blanks within a line collapsed, of a whole text. The regular expression runs only where it can change something."""
+    blanks = text.contains("  ")
     for c in "\t\x0b\f\r":
-        blanks = blanks | low.contains(c)
-    return F.when(blanks, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+        blanks = blanks | text.contains(c)
+    return F.when(blanks, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
 
 
 def characters(norm: Column) -> Column:
@@ -98,7 +99,10 @@ def buckets(signed: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, text_key, pos, norm, line (hash of norm) of the lines that take part."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("pos", "raw"))
+    # a column a step: within one expression the lower case of a text would be made for every look for a blank
+    low = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower("text").alias("low"))
+    whole = low.select("doc_id", "text_key", collapsed(F.col("low")).alias("norm"))
+    each = whole.select("doc_id", "text_key", F.posexplode(F.split("norm", "\n")).alias("pos", "raw"))
     return each.withColumn("norm", F.trim("raw")).filter(F.length("norm") >= min_chars).select("doc_id", "text_key", "pos", "norm", F.xxhash64("norm").alias("line"))
 
 
@@ -138,7 +142,8 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
     two = F.array(pair(F.col("low"), F.col("high")))
     three = F.array(pair(F.col("low"), F.col("high")), pair(F.col("low"), mid), pair(mid, F.col("high")))
     tried = table(met.filter("n <= 3").select(F.inline(F.when(F.col("n") == 2, two).otherwise(three))).distinct(), "pairs")
-    large = table(met.filter("n > 3").select("bucket"), "large-buckets")
+    # lines that are near share several bands: of the buckets that hold the same lines, told by the sums, one is looked up
+    large = table(met.filter("n > 3").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket"), "large-buckets")
     rest = table(keys.join(few(large), "bucket", "left_semi"), "buckets")
     wanted = table(rest.select("line").union(tried.select("u")).union(tried.select("v")).distinct(), "wanted")
     texts = table(lines.join(few(wanted), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
@@ -147,8 +152,10 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
         drop_table(t)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Those whose similarity reaches the threshold. Texts travel, which are shorter than their shingles."""
-        both = pairs.join(texts.select(F.col("line").alias("u"), F.col("norm").alias("nu")), "u").join(texts.select(F.col("line").alias("v"), F.col("norm").alias("nv")), "v")
+        """Those of a table of pairs whose similarity reaches the threshold. Texts travel, those of the pairs alone, which are shorter than their shingles."""
+        held = few(pairs)
+        nu, nv = (texts.select(F.col("line").alias(x), F.col("norm").alias(f"n{x}")).join(held.select(x), x, "left_semi") for x in ("u", "v"))
+        both = pairs.join(nu, "u").join(nv, "v")
         sets = F.array(F.struct(shingles(F.col("nu"), width).alias("a"), shingles(F.col("nv"), width).alias("b")))
         shared = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("n"), (F.size(s["a"]) + F.size(s["b"])).alias("total")))
         reached = F.exists(shared, lambda s: s["n"] >= threshold * (s["total"] - s["n"]))
@@ -163,7 +170,10 @@ def linked(lines: DataFrame, width: int, threshold: float) -> DataFrame:
 
     def room(x: str, y: str) -> Column:
         differ = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-        return (1 + threshold) * differ <= (1 - threshold) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + 1e-6
+        # sizes first, which settle most pairs: as many shingles differ as the sizes do
+        a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+        sizes = (a >= threshold * b - 1e-6) & (b >= threshold * a - 1e-6)
+        return sizes & ((1 + threshold) * differ <= (1 - threshold) * (a + b) + 1e-6)
 
     def apart(x: DataFrame, y: DataFrame, reps: int | None) -> DataFrame:
         """Pairs of x and y (bucket, line, c, out) that share a bucket, stand in different components and have room for the threshold."""
@@ -225,4 +235,6 @@ def dedup(docs: DataFrame, width: int = 12, threshold: float = 0.8, min_chars: i
     kept = F.array_join(F.filter(parts, lambda x, at: ~F.array_contains(F.col(g), at)), "\n")
     counts = {n_lines: F.coalesce(F.size(parts), F.lit(0)).cast("long"), n_removed: F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long")}
     columns = [F.when(F.col(g).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() not in {x.lower() for x in counts}]
-    return docs.join(found, same, "left").select(*columns, *(v.alias(c) for c, v in counts.items()))
+    # removed lines are few numbers a document: up to 32 MB of them are broadcast, so that whole texts needn't be dealt
+    size = found.agg(F.coalesce(F.sum(F.size(g) * 4 + 64), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(found) if size <= BROADCAST else found, same, "left").select(*columns, *(v.alias(c) for c, v in counts.items()))

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import drop_table, few, table
+from prismal.llm.common import drop_table, few, give_back, table
 from prismal.llm.language import groups
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -318,5 +318,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             s = scorer.score([t or "" for t in b.column(text).to_pylist()])
             limit = np.array([scorer.model.thresholds.get(x, scorer.model.threshold) for x in b.column(lang).to_pylist()], "f8")
             yield b.filter(pa.array(s < limit, pa.bool_()))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
