@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary, fitted by expectation maximisation over all
 segmentations of all words of a bounded sample (`sample_docs` distinct texts, the languages in turn, so that each has rows). A word's score in a language is the sum over all its segmentations, by the forward algorithm; a text's is the
-product over its words. Distinct words are scored once per batch and cached.
+product over its words. Distinct runs of letters, in lower case, are scored once per worker and cached over its tasks.
 
 Defined results: `und` and score 0 where a text is null or has no letter; with nothing to learn from, `und` throughout;
 a null language is never learned; repeated rows get equal rows; other columns are ignored. A letter is a character of a Unicode category L; what is left of a run of other word characters is apart.
@@ -15,6 +15,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from prismal.llm.common import drop_table, table
 
 RUNS = re.compile(r"[^\W\d_]+").findall
 PART, UNKNOWN = 32, 1e-8
+#: Ranges of the hashes of a language's texts that are counted before its sample is taken.
+BINS = 1 << 14
 
 
 def letters(text: str) -> list[str]:
@@ -61,6 +64,25 @@ def posterior(edges: list[tuple[int, int, int]], size: int, prob: list[float]) -
         yield k, math.exp(a[i] + lp[k] + b[j] - b[0])
 
 
+class Trie:
+    """The prefixes of the vocabulary by number: first those that go on, then those that end there; 0 is none. A row a prefix that goes on, a column a character."""
+
+    def __init__(self, index: dict[str, int]) -> None:
+        inner = dict.fromkeys(p[:k] for p in index for k in range(1, len(p)))
+        self.inner = len(inner)
+        number = {p: k + 1 for k, p in enumerate([*inner, *(p for p in index if p not in inner)])}
+        self.piece = np.array([0, *(index.get(p, 0) for p in number)], "i4")
+        self.root, self.column = np.zeros(0x110000, "i4"), np.zeros(0x110000, "i4")
+        later = sorted({c for p in index for c in p[1:]})
+        self.column[[ord(c) for c in later]] = np.arange(1, len(later) + 1)
+        self.next = np.zeros((self.inner + 1, len(later) + 1), "i4")
+        for p, k in number.items():
+            if len(p) > 1:
+                self.next[number[p[:-1]], self.column[ord(p[-1])]] = k
+            else:
+                self.root[ord(p)] = k
+
+
 class Model:
     def __init__(self, langs: list[str], vocabulary: list[str]) -> None:
         self.langs = langs
@@ -69,6 +91,15 @@ class Model:
         self.p = np.full((len(vocabulary) + 1, max(1, len(langs))), 1.0 / (len(vocabulary) + 1))
         self.p[0] = UNKNOWN
         self.prior = np.zeros(max(1, len(langs)))
+        self._trie: Trie | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_trie": None}  # built where it is used
+
+    def trie(self) -> Trie:
+        if self._trie is None:
+            self._trie = Trie(self.index)
+        return self._trie
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(from, to, piece) of a word's segmentation lattice; a single character always has an edge, 0 if unknown."""
@@ -111,28 +142,47 @@ class Model:
             self.p[:, at] = p
 
     def log_likelihood(self, words: list[str]) -> np.ndarray:
-        """Rows: words; columns: languages. The forward algorithm for all words of one length at a time."""
+        """Rows: words; columns: languages."""
         out = np.empty((len(words), self.p.shape[1]))
-        by_size, get, longest = defaultdict(list), self.index.get, self.longest
-        for k, w in enumerate(words):
-            by_size[len(w)].append(k)
-        for size, at in by_size.items():
-            if size > PART:
-                for k in at:
-                    out[k] = self.long_likelihood(words[k])
-                continue
-            spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - longest), j)]
-            ids = np.array([[get(words[k][i:j], 0) for i, j in spans] for k in at], "i4").T
-            alpha = np.zeros((size + 1, len(at), self.p.shape[1]))
-            alpha[0] = 1
-            for (i, j), piece in zip(spans, ids, strict=True):
-                prob = self.p[piece]
-                if j > i + 1:
-                    prob = np.where(piece[:, None] == 0, 0.0, prob)
-                alpha[j] += alpha[i] * prob
-            out[at] = np.log(np.maximum(alpha[size], 1e-300))
+        size = np.array([len(w) for w in words], "i8")
+        for k in np.flatnonzero(size > PART):
+            out[k] = self.long_likelihood(words[k])
+        order = np.argsort(-size, kind="stable")
+        order = order[np.count_nonzero(size > PART) :]
+        step = max(256, (1 << 15) // self.p.shape[1])
+        for at in range(0, len(order), step):
+            some = order[at : at + step]
+            out[some] = np.log(np.maximum(self.forward([words[k] for k in some], size[some]), 1e-300))
         return out
 
+    def forward(self, words: list[str], size: np.ndarray) -> np.ndarray:
+        """The forward algorithm for words of PART letters at most, the longest first. Only substrings that the vocabulary's trie knows are followed."""
+        trie, most = self.trie(), int(size[0])
+        code = np.array(words, f"U{max(1, most)}").view("u4").reshape(len(words), -1).T.copy()
+        column = trie.column[code]
+        over = [int(np.count_nonzero(size > k)) for k in range(most + 1)]  # how many words, which come first, have a letter at place k
+        alpha = np.zeros((most + 1, len(words), self.p.shape[1]))
+        alpha[0] = 1
+        for i in range(most):
+            here = alpha[i]
+            node = trie.root[code[i, : over[i]]]
+            alpha[i + 1, : over[i]] += here[: over[i]] * self.p[trie.piece[node]]  # a single character always has an edge
+            at = np.flatnonzero((node > 0) & (node <= trie.inner))
+            node = node[at]
+            for j in range(i + 1, most):
+                fit = int(np.searchsorted(at, over[j]))
+                at = at[:fit]
+                if not fit:
+                    break
+                node = trie.next[node[:fit], column[j, at]]
+                piece = trie.piece[node]
+                met = np.flatnonzero(piece)
+                to = at[met]
+                alpha[j + 1, to] += here[to] * self.p[piece[met]]
+                on = np.flatnonzero((node > 0) & (node <= trie.inner))
+                at, node = at[on], node[on]
+        return alpha[size, np.arange(len(words))]
+
     def long_likelihood(self, word: str) -> np.ndarray:
         """The same for one long word, by logarithms of the sums at the last places."""
         sums = [np.zeros(self.p.shape[1])]
@@ -144,7 +194,7 @@ class Model:
 
 
 class Scorer:
-    """Sums over a text's chunks; the vector of a chunk is computed once and cached, up to `cached` chunks."""
+    """Sums over a text's runs of letters; the vector of a run is computed once and cached, up to `cached` runs."""
 
     def __init__(self, model: Model, cached: int = 400_000) -> None:
         self.model, self.cached = model, cached
@@ -152,33 +202,51 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, self.model.p.shape[1] + 1))
+        self.rows = np.zeros((1024, self.model.p.shape[1] + 1))
+
+    def add(self, new: list[str]) -> None:
+        """The vectors of new runs: sums over their words, and how many those are."""
+        base = len(self.at)
+        if base + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:base], np.zeros((max(base, len(new)), self.rows.shape[1]))])
+        plain = np.array([x.isalpha() for x in new], bool)
+        rows = self.rows[base : base + len(new)]
+        rows[plain, :-1] = self.model.log_likelihood(["▁" + x for x in new if x.isalpha()])
+        rows[plain, -1] = 1
+        for k in np.flatnonzero(~plain):
+            words = parts(new[k])
+            rows[k] = [*self.model.log_likelihood(words).sum(0), len(words)]
+        self.at.update(zip(new, range(base, base + len(new)), strict=True))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihoods, number of word parts) of the texts."""
-        split = [t.split() for t in texts]
-        need = set().union(*split)
-        new = [x for x in need if x not in self.at]
+        runs = [RUNS(t.lower()) for t in texts]
+        need = set().union(*runs)
+        new = need.difference(self.at)
         if len(self.at) + len(new) > self.cached and self.at:
             self.clear()
-            new = list(need)
-        words = [parts(x) for x in new]
-        flat = [w for x in words for w in x]
-        got = np.zeros((len(new), self.rows.shape[1]))
-        if flat:
-            each = np.repeat(np.arange(len(new)), [len(x) for x in words])
-            ll = self.model.log_likelihood(flat)
-            np.add.at(got, each, np.concatenate([ll, np.ones((len(ll), 1))], 1))
-        base = len(self.rows)
-        self.at.update((x, base + k) for k, x in enumerate(new))
-        self.rows = np.concatenate([self.rows, got])
+            new = need
+        if new:
+            self.add(list(new))
         sums = np.zeros((len(texts), self.rows.shape[1]))
-        for k, x in enumerate(split):
-            if x:
-                sums[k] = self.rows[np.fromiter(map(self.at.__getitem__, x), "i8", len(x))].sum(0)
+        size = np.array([len(x) for x in runs], "i8")
+        some = np.flatnonzero(size)
+        if len(some):
+            at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(runs)), "i8", int(size.sum()))
+            sums[some] = np.add.reduceat(self.rows[at], (np.cumsum(size) - size)[some])
         return sums[:, :-1], sums[:, -1]
 
 
+_SCORERS: list[Scorer] = []
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer of the model that this worker used last, with what it has cached."""
+    if not _SCORERS or _SCORERS[0].model is not model:
+        _SCORERS[:] = [Scorer(model)]
+    return _SCORERS[0]
+
+
 def groups(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about so many characters together."""
     at = 0
@@ -194,14 +262,16 @@ def groups(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
 def sample(df: DataFrame, n: int) -> DataFrame:
     """lang, text of at most n distinct rows, or one per language if those are more. Languages take turns, each in the order of a hash of its texts.
 
-    Distinct hashes are counted by language first, and of a language with over 2 n only about 1.2 n, those that come first, are ordered.
+    Distinct hashes are counted by language and by BINS ranges of the hash first, and of a language only the first ranges that hold n together are ordered.
     """
     span = 1 << 40
     known = df.filter("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("text", "lang"), F.lit(span)).alias("h"))
     distinct = table(known.select("lang", "h").distinct(), "text-hashes")
-    counts = table(distinct.groupBy("lang").agg(F.count("*").alias("texts")), "languages")
-    first = F.when(F.col("texts") > 2 * n, F.col("h") < F.floor(F.lit(span * 1.2 * n) / F.col("texts"))).otherwise(F.lit(True))
-    thinned = distinct.join(counts, "lang").filter(first).select("lang", "h")
+    part = F.floor(F.col("h") / (span // BINS))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = distinct.groupBy("lang", part.alias("part")).agg(F.count("*").alias("texts")).withColumn("before", F.coalesce(F.sum("texts").over(before), F.lit(0)))
+    counts = table(counts.filter(F.col("before") < n).groupBy("lang").agg(F.max("part").alias("last")), "languages")
+    thinned = distinct.join(F.broadcast(counts), "lang").filter(part <= F.col("last")).select("lang", "h")
     ranked = thinned.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("turn") <= n)
     chosen = table(ranked.orderBy("turn", "h", "lang").limit(max(n, counts.count())).select("lang", "h"), "chosen")
     found = table(known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text"), "sample")
@@ -237,13 +307,13 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        langs = scorer.model.langs
+        held = scorer(shared.value)
+        langs = held.model.langs
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             pred, conf = [], []
             for i, j in groups(texts):
-                ll, n = scorer.score(texts[i:j])
+                ll, n = held.score(texts[i:j])
                 p = np.exp(ll - ll.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 for row, words in zip(p, n, strict=True):
