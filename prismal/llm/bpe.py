@@ -11,8 +11,6 @@ import re
 import sys
 from array import array
 
-import numpy as np
-
 #: Characters with the Unicode property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs of these letters, and of these signs, are whole pieces for either splitter if nothing but the other, white space or the end follows.
@@ -22,6 +20,9 @@ CHUNKS = {
     "byte": re.compile(f" ?[{LATIN}]+(?![^ \\n{SIGNS}])| ?[{SIGNS}]+(?![^ \\n{LATIN}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
     "word": re.compile(f"[{LATIN}]+(?![^ \\n{SIGNS}])|[{SIGNS}]+(?![^ \\n{LATIN}])|[^ \\t\\n\\r]+"),
 }
+#: The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on.
+SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(b if b in SEEN else 256 + sum(x not in SEEN for x in range(b))) for b in range(256)}
 #: Longer chunks are encoded each time, so that the cache's size is bounded in bytes too.
 LONGEST = 48
 
@@ -35,15 +36,15 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a control token's name inside a text stays ordinary text
+        self.tokens = self.tok.model.tokenize
+        # no added token could be found inside a word, and no normalizer changes its bytes
+        self.direct = all(t.special for t in self.tok.get_added_tokens_decoder().values()) and (kind == "word" or self.tok.normalizer is None)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.kind, self.find = kind, CHUNKS[kind].findall
         self.cached = cached
-        self.cache: dict[str, bytes] = {}
-        # of each id: whether its token begins (byte) or ends (word) a word
-        names = {v: k for k, v in self.tok.get_vocab(with_added_tokens=True).items()}
-        mark = (lambda t: t.startswith("Ġ")) if kind == "byte" else (lambda t: t.endswith("</w>"))
-        self.edge = np.array([mark(names.get(i, "")) for i in range(max(names) + 1)])
+        self.lead = 1 if kind == "byte" else 0
+        self.cache = Chunks(self)
 
     def pack(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -51,50 +52,36 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def words(self, new: list[str]) -> list[bytes] | None:
-        """Of chunks that are one word each: all encoded as one text, and cut where words begin or end."""
-        ids = np.array(self.tok.encode_batch_fast(["".join(new) if self.kind == "byte" else " ".join(new)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-        cuts = np.flatnonzero(self.edge[ids])
-        if len(cuts) != len(new):
-            return None
-        cuts = np.append(cuts, len(ids)) if self.kind == "byte" else np.append(0, cuts + 1)
-        if cuts[0] or cuts[-1] != len(ids):
-            return None
-        data, at = ids.tobytes(), (cuts * self.width).tolist()
-        return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
-
-    def chunks(self, new: list[str]) -> list[tuple[str, bytes]]:
-        lead = 1 if self.kind == "byte" else 0
-        plain = [x for x in new if x[lead:].isalpha() and x[:lead] in ("", " ")]
-        got = self.words(plain) if len(plain) > 8 else None
-        if got is None:
-            plain, got = [], []
-        done = set(plain)
-        rest = [x for x in new if x not in done]
-        return [*zip(plain, got, strict=True), *((x, self.pack(e.ids)) for x, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True))]
-
-    def encode(self, texts: list[str], chars: int = 2_000_000) -> list[bytes]:
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
-                size += len(texts[end])
-                end += 1
-            some = texts[at:end]
-            if self.kind == "word":  # that tokenizer lowers case itself; doing so for A-Z first leaves fewer distinct chunks
-                some = [t.encode().lower().decode() for t in some]
-            parts = [self.find(t) for t in some]
-            cache = self.cache
-            new = list(dict.fromkeys(x for p in parts for x in p if x not in cache))
-            if len(cache) + len(new) > self.cached:
-                cache.clear()
-                new = list(dict.fromkeys(x for p in parts for x in p))
-            cache.update(self.chunks(new))
-            out += [b"".join(map(cache.__getitem__, p)) for p in parts]
-            for x in [x for x in new if len(x) > LONGEST]:
-                del cache[x]
-            at = end
-        return out
+    def one(self, chunk: str) -> bytes:
+        """The ids of a chunk. A word of letters is what the model gets of it, so it goes there; all else goes through the whole tokenizer."""
+        word = chunk[self.lead :]
+        if self.direct and word.isalpha() and chunk[: self.lead] in ("", " "):
+            if self.kind == "byte":
+                return self.pack([t.id for t in self.tokens("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)))])
+            if word.isascii():
+                return self.pack([t.id for t in self.tokens(word)])
+        return self.pack(self.tok.encode(chunk, add_special_tokens=False).ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.kind == "word":  # that tokenizer lowers case itself; doing so for A-Z first leaves fewer distinct chunks
+            texts = [t.encode().lower().decode() for t in texts]
+        get = self.cache.__getitem__
+        return [b"".join(map(get, self.find(t))) for t in texts]
+
+
+class Chunks(dict):
+    """Ids by chunk, filled as chunks are asked for."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encoder.one(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= self.encoder.cached:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
