@@ -37,7 +37,7 @@ FACTORS = [random.Random(k).getrandbits(30) << 1 | 1 for k in range(16)]
 BANDS = tuple(band for k in range(0, 16, 4) for band in itertools.combinations(range(k, k + 4), 3))
 LOW = 0xFFFFFFFF
 #: Shingles hashed in one row, and bytes of a character.
-STEP, WIDE = 4, 4
+STEP, WIDE = 16, 4
 #: Representatives of a band in each round of tries.
 REPS = (1, 8, 32)
 #: After the first round of tries all pairs that are left are compared as soon as there are no more of them than this many a line of the corpus.
