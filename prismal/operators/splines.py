@@ -2,9 +2,8 @@
 
 A curve is a row a control point. Spans between neighbouring points become centripetal Catmull-Rom pieces (a lag and a lead give the four
 points of a span); arc length is a running sum over the samples of a curve, and the marks at whole steps of it are found in the piece
-that crosses them, so a curve is a window over its samples and not a loop. Marks meet the tiles that they can touch by an
-equality join: each is filed under the tiles of its own square, a mark's reach is bounded by its width, and each tile sums its marks
-for its samples.
+that crosses them, so a curve is a window over its samples and not a loop. A mark's reach is bounded by its width; each task sums
+the samples inside the squares of its marks, a few hundred thousand at once, and only these sums are dealt.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 # Fixed values of the format: points of a span, distance of marks, terms of a colour's series, what a mark may still add at its border (a power), and the
 # approximation of the error function, 1 - 1 / p(x)^4.
 SPAN, STEP, TERMS, LEAST, POWER = 16, 1.0, 32, 0.1, 3
+#: Samples under marks that are worked out at once.
+CHUNK = 1 << 18
 ERF = (1.0, 0.277820801, 0.232120216, 0.000205260015, 0.0777394369)
 
 
@@ -110,7 +111,8 @@ def _erf(x: np.ndarray) -> np.ndarray:
     p = np.zeros_like(a)
     for c in reversed(ERF):
         p = p * a + c
-    return np.where(x <= 0, -1.0, 1.0) * (1 - 1 / p**4)
+    p *= p
+    return np.copysign(1 - 1 / (p * p), x)
 
 
 def painted(x: np.ndarray, y: np.ndarray, brush: dict) -> np.ndarray:
@@ -123,40 +125,60 @@ def painted(x: np.ndarray, y: np.ndarray, brush: dict) -> np.ndarray:
     return np.where(inside, one * one * 0.25 * sigma, 0.0)
 
 
-def _paint(batches: Iterator[pa.RecordBatch], tile: int, width: int, height: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: the sum of the marks of a tile, one held at a time."""
-    now, canvas, x, y = None, None, None, None
+def _paint(batches: Iterator[pa.RecordBatch], tile: int, width: int, height: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Sums of the marks of a task, which meet only the samples inside their reach; about `held` tiles are kept, then given out."""
+    slots: dict[tuple[int, int], int] = {}
+    canvas = np.zeros((3, 0))
 
     def done() -> pa.RecordBatch:
-        ys, xs = np.nonzero(np.any(canvas != 0, axis=0))
-        return pa.RecordBatch.from_arrays([pa.array(y[ys, xs]), pa.array(x[ys, xs]), *(pa.array(c[ys, xs]) for c in canvas)], ["y", "x", "v0", "v1", "v2"])
+        at = np.array(list(slots), "i8")
+        on = np.nonzero(np.any(canvas[:, : len(slots) * tile * tile] != 0, axis=0))[0]
+        slot, y, x = on // (tile * tile), on // tile % tile, on % tile
+        return pa.RecordBatch.from_arrays([pa.array(at[slot, 0] * tile + y), pa.array(at[slot, 1] * tile + x), *(pa.array(c[on]) for c in canvas)], ["y", "x", "v0", "v1", "v2"])
 
     for b in batches:
-        for row in b.to_pylist():
-            if (row["ty"], row["tx"]) != now:
-                if now is not None:
-                    yield done()
-                now = (row["ty"], row["tx"])
-                y, x = np.mgrid[now[0] * tile : min(height, (now[0] + 1) * tile), now[1] * tile : min(width, (now[1] + 1) * tile)]
-                canvas = np.zeros((3, *y.shape))
-            weight = painted(x, y, row)
+        mark = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(("x", "y", "sigma", "reach", "c0", "c1", "c2"))}
+        first = {n: np.maximum(0, np.floor(mark[n] - mark["reach"] + 0.5)).astype("i8") for n in "xy"}
+        count = {n: np.maximum(0, np.minimum(most, np.floor(mark[n] + mark["reach"] + 0.5).astype("i8") + 1) - first[n]) for n, most in (("x", width), ("y", height))}
+        lines = np.repeat(np.arange(len(mark["x"])), np.where(count["x"] > 0, count["y"], 0))
+        row = first["y"][lines] + _places(lines)
+        ends = np.cumsum(count["x"][lines])
+        begin = 0
+        while begin < len(lines):  # lines of samples, about CHUNK samples at a time
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK, "right")))
+            line = np.repeat(np.arange(begin, end), count["x"][lines[begin:end]])
+            m, y = lines[line], row[line]
+            x = first["x"][m] + _places(line)
+            u, sigma = 0.5 * np.hypot(x - mark["x"][m], y - mark["y"][m]), mark["sigma"][m]
+            one = _erf((u + math.sqrt(0.125)) / sigma) - _erf((u - math.sqrt(0.125)) / sigma)
+            weight = one * one * 0.25 * sigma
+            ty, tx = y // tile, x // tile
+            names, which = np.unique(ty * (width // tile + 1) + tx, return_inverse=True)
+            keys = list(zip((names // (width // tile + 1)).tolist(), (names % (width // tile + 1)).tolist(), strict=True))
+            if slots and len(slots.keys() | set(keys)) > held:
+                yield done()
+                slots, canvas = {}, np.zeros((3, 0))
+            slot = np.array([slots.setdefault(k, len(slots)) for k in keys], "i8")[which]
+            if canvas.shape[1] < len(slots) * tile * tile:
+                canvas = np.concatenate([canvas, np.zeros((3, len(slots) * tile * tile - canvas.shape[1]))], axis=1)
+            cell = (slot * tile + y - ty * tile) * tile + x - tx * tile
             for k in range(3):
-                canvas[k] += row[f"c{k}"] * weight
-    if now is not None:
+                np.add.at(canvas[k], cell, mark[f"c{k}"][m] * weight)
+            begin = end
+    if slots:
         yield done()
 
 
-def canvas(brush: DataFrame, width: int, height: int, tile: int = 64, parts: int = 64) -> DataFrame:
+def _places(runs: np.ndarray) -> np.ndarray:
+    """Place of each element inside its run of equal ones."""
+    begins = np.nonzero(np.diff(runs, prepend=-1))[0]
+    return np.arange(len(runs)) - np.repeat(begins, np.diff(begins, append=len(runs)))
+
+
+def canvas(brush: DataFrame, width: int, height: int, tile: int = 64, held: int = 256) -> DataFrame:
     """y, x, v0, v1, v2: what the marks of brushes() add to a canvas, where it isn't zero.
 
-    Marks of a tile are first summed in `parts` shares, so that a tile under very many of them isn't left to one task.
+    Each task sums its own marks by tile, of which it keeps about `held`, so marks aren't dealt and a tile under very many of them isn't left to one task.
     """
-    low = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - F.col("reach") - 1) / tile)).cast("long")
-    high = lambda c, n: F.least(F.lit((n - 1) // tile), F.floor((F.col(c) + F.col("reach") + 1) / tile)).cast("long")
-    filed = brush.withColumn("y0", low("y")).withColumn("y1", high("y", height)).withColumn("x0", low("x")).withColumn("x1", high("x", width))
-    between = lambda a, b: F.explode(F.when(F.col(a) <= F.col(b), F.sequence(a, b)))
-    filed = filed.withColumn("ty", between("y0", "y1")).withColumn("tx", between("x0", "x1"))
-    keys = ["ty", "tx", "share"]
-    dealt = filed.withColumn("share", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).repartition(*keys).sortWithinPartitions(*keys, "x", "y", "sigma", "c0", "c1", "c2")
-    found = dealt.select("ty", "tx", "x", "y", "sigma", "reach", "c0", "c1", "c2").mapInArrow(partial(_paint, tile=tile, width=width, height=height), "y long, x long, v0 double, v1 double, v2 double")
+    found = brush.select("x", "y", "sigma", "reach", "c0", "c1", "c2").mapInArrow(partial(_paint, tile=tile, width=width, height=height, held=held), "y long, x long, v0 double, v1 double, v2 double")
     return found.groupBy("y", "x").agg(*(F.sum(c).alias(c) for c in ("v0", "v1", "v2")))

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,29 @@ def test_marks_lie_a_step_apart_and_paint_what_plain_sums_do(spark):
         assert np.allclose(got, want)
 
 
+def test_marks_are_painted_inside_their_reach_only(monkeypatch):
+    """Work grows with the squares of the marks, not with marks times samples of a tile."""
+    draw = np.random.default_rng(5)
+    n = 300
+    mark = {"x": draw.uniform(-4, 300, n), "y": draw.uniform(-4, 200, n), "sigma": draw.choice([-0.7, 0.5, 2.0], n), "reach": draw.uniform(0, 5, n), **{f"c{k}": draw.normal(0, 1, n) for k in range(3)}}
+    counted, plain = [], splines._erf
+    monkeypatch.setattr(splines, "_erf", lambda x: counted.append(x.size) or plain(x))
+    monkeypatch.setattr(splines, "CHUNK", 1000)
+    got = np.zeros((3, 180, 290))
+    for b in splines._paint(iter([pa.RecordBatch.from_pydict({k: v[: n // 2] for k, v in mark.items()}), pa.RecordBatch.from_pydict({k: v[n // 2 :] for k, v in mark.items()})]), 64, 290, 180, 3):
+        for r in b.to_pylist():
+            got[:, r["y"], r["x"]] += r["v0"], r["v1"], r["v2"]
+    assert sum(counted) <= 2 * n * 11 * 11
+    want = np.zeros_like(got)
+    y, x = np.mgrid[0:180, 0:290]
+    for k in range(n):
+        brush = {c: v[k] for c, v in mark.items()}
+        weight = splines.painted(x, y, brush)
+        for c in range(3):
+            want[c] += brush[f"c{c}"] * weight
+    assert np.allclose(got, want)
+
+
 def test_a_late_frame_is_given_out_and_changes_no_slot(spark):
     begin = datetime(2024, 1, 1)
     frame = lambda hour, name, value, session=1: (session, begin + timedelta(hours=hour), name, "add", 1, 1, 1, value)
