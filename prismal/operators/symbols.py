@@ -3,21 +3,54 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.functions.scalar import ceil_log2
 
 
+#: Characters of a piece of a text whose list of symbols is kept on its own.
+PIECE = 256
+
+
 def of_text(df: DataFrame, key: str, context: str, text: str) -> DataFrame:
     """(key, ctx, pos, sym): the characters of a text as code points."""
     chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
     return df.select(F.col(key).alias("key"), F.col(context).alias("ctx"), F.posexplode(chars).alias("pos", "c")).select("key", "ctx", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("sym"))
 
 
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Of texts with characters, about `size` of these at a time: what stands before each text, their lengths, and all code points in turn."""
+    names, texts, total = [], [], 0
+    pack = lambda: (names, np.array([len(t) for t in texts], "i8"), np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"))
+    for b in batches:
+        for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if text := text.as_py():
+                names.append(name)
+                texts.append(text)
+                total += len(text)
+                if total >= size:
+                    yield pack()
+                    names, texts, total = [], [], 0
+    if names:
+        yield pack()
+
+
+def _alphabet(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct symbols in order, and the place of each symbol among them."""
+    on = np.zeros(int(s.max()) + 1, bool)
+    on[s] = True
+    used = np.nonzero(on)[0]
+    place = np.zeros(len(on), "i8")
+    place[used] = np.arange(len(used))
+    return used, place[s]
+
+
 def text_runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Runs of equal characters, found inside each text: key, start, sym, length, and the cost class of the length."""
     bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  value is worked out once
@@ -102,6 +135,78 @@ def move_to_front(symbols: DataFrame) -> DataFrame:
     return symbols.select("key", "pos", "sym").groupBy("key").applyInPandas(run, "key long, pos long, index long")
 
 
+def _front_list(ids: list[int]) -> list[int]:
+    """move_to_front() of one stream, symbol by symbol."""
+    front: list[int] = []
+    seen: set[int] = set()
+    out = []
+    for s in ids:
+        if s in seen:
+            at = front.index(s)
+            del front[at]
+        else:
+            at = -1
+            seen.add(s)
+        front.insert(0, s)
+        out.append(at)
+    return out
+
+
+def _front_pieces(ids: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """move_to_front() of streams that follow each other, of at most 256 symbols: a step takes the next symbol of every piece of every stream.
+
+    A piece begins with the list that the pieces before it leave: symbols by their last use, and then those not used.
+    """
+    ends = np.cumsum(length)
+    count = -(-length // PIECE)
+    stream = np.repeat(np.arange(len(length)), count)
+    k = np.arange(len(stream)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (ends - length)[stream] + k * PIECE
+    own = np.minimum(PIECE, ends[stream] - begin)
+    last = np.full((len(stream) + 1, size), -1, "i8")
+    last[np.repeat(np.arange(len(stream)), own) + 1, ids] = np.arange(len(ids))  # the last of equal places stays
+    last = np.maximum.accumulate(last, axis=0)[:-1]
+    last[last < (ends - length)[stream][:, None]] = -1
+    used = (last >= 0).sum(1)
+    rank = np.empty(last.shape, "u1")
+    np.put_along_axis(rank, np.argsort(-last, axis=1, kind="stable"), np.arange(size, dtype="u1")[None, :], axis=1)
+    order = np.argsort(-own, kind="stable")
+    rank, used, begin, own = rank[order], used[order], begin[order], own[order]
+    out = np.empty(len(ids), "i8")
+    at = np.arange(len(order))
+    for step in range(int(own[0])):
+        n = int(np.searchsorted(-own, -step, "left"))  # pieces longer than step
+        place = begin[:n] + step
+        sym, lists = ids[place], rank[:n]
+        r = lists[at[:n], sym]
+        new = r >= used[:n]
+        out[place] = r
+        out[place[new]] = -1
+        used[:n] += new
+        np.add(lists, (lists < r[:, None]).view("u1"), out=lists)
+        lists[at[:n], sym] = 0
+    return out
+
+
+def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for names, length, s in _held(batches, 1 << 20):
+        used, ids = _alphabet(s)
+        if len(used) <= 256:
+            index = _front_pieces(ids, length, len(used))
+        else:
+            index = np.empty(len(s), "i8")
+            for end, n in zip(np.cumsum(length).tolist(), length.tolist(), strict=True):
+                used, ids = _alphabet(s[end - n : end])
+                index[end - n : end] = _front_pieces(ids, np.array([n]), len(used)) if len(used) <= 256 and n > PIECE * PIECE else _front_list(ids.tolist())
+        pos = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()).take(pa.array(np.repeat(np.arange(len(length)), length))), pa.array(pos), pa.array(index)], ["key", "pos", "index"])
+
+
+def move_to_front_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, index: move_to_front() over the characters of each text, in the task that reads it; no row is dealt."""
+    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(_fronts, "key long, pos long, index long")
+
+
 def reindex(df: DataFrame, label: str, order: str) -> DataFrame:
     """Labels renumbered by first appearance. The window is over one row per label."""
     first = df.groupBy(label).agg(F.min(order).alias("first"))

@@ -315,7 +315,7 @@ def move_to_front(spark, d):
 
 @query()
 def move_to_front_texts(spark, d):
-    return symbols.move_to_front(stream(spark, d))
+    return symbols.move_to_front_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("SELECT source AS label, f AS first, row_number() OVER (ORDER BY f, source) - 1 AS id FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)")

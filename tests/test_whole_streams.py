@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from prismal.operators import symbols
@@ -33,3 +34,26 @@ def test_ans_of_a_large_alphabet(spark):
     ids = np.random.default_rng(1).permutation(200_000) % 70_000
     freq = symbols.normalized(np.bincount(ids), 1 << 17)
     assert symbols.ans_decode(*symbols.ans_encode(ids.tolist(), freq), len(ids), freq) == (ids.tolist(), 0x130000 << 1)
+
+
+ODD = [("a" * 900 + "b", 1), ("", 2), (None, 3), ("é中🙂" * 400 + "ab" * 300, 4), ("".join(chr(0x4E00 + k * 7 % 5000) for k in range(9000)), 5), ("same", 6), ("other", 6), ("no key", None), *((f"line {k}\n" * (k % 40), 100 + k) for k in range(60))]
+
+
+def odd(spark):
+    """Texts with repeated and missing keys, and alphabets of one to 5,000 symbols."""
+    return spark.createDataFrame(ODD, "t string, key long").coalesce(1)
+
+
+@pytest.mark.parametrize(("name", "held"), [("move_to_front_texts", 0)])
+def test_texts_are_coded_where_they_are_read(spark, name, held):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == held
+
+
+def test_move_to_front_of_odd_texts(spark):
+    rows = [(r.key, r.pos, r["index"]) for r in symbols.move_to_front_texts(odd(spark), "key", "t").collect()]
+    want = [(key, pos, index) for t, key in ODD if t for pos, index in enumerate(symbols._front_list(list(t)))]
+    assert rows == want
+    ids = np.random.default_rng(2).integers(0, 9, 3000) ** 2
+    whole = symbols._front_pieces(ids, np.array([1, 2000, 999]), 65)
+    assert whole.tolist() == [x for a, b in ((0, 1), (1, 2001), (2001, 3000)) for x in symbols._front_list(ids[a:b].tolist())]
