@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from prismal.functions.scalar import ceil_log2
 
 
-#: Characters of a piece of a text whose list of symbols is kept on its own.
-PIECE = 256
+#: Characters of texts that a task holds at once (a longer text alone), and those of a piece of a text whose list of symbols is kept on its own.
+HELD, PIECE = 1 << 23, 256
+#: Streams under which each is coded symbol by symbol.
+FEW = 24
 
 
 def of_text(df: DataFrame, key: str, context: str, text: str) -> DataFrame:
@@ -263,7 +265,12 @@ def _ans_sizes(freq: np.ndarray) -> tuple[int, int, int]:
 
 def ans_encode(symbols: list[int], freq: np.ndarray) -> tuple[int, list[int]]:
     """rANS with a table of a power of two (12 bits unless the alphabet is larger) and 16-bit renormalisation, last symbol first: final state and words."""
-    bits, low, state = _ans_sizes(freq)
+    return _ans_put(symbols, freq, _ans_sizes(freq)[2])
+
+
+def _ans_put(symbols: list[int], freq: np.ndarray, state: int) -> tuple[int, list[int]]:
+    """State and further words once symbols, last first, are put on a state."""
+    bits, low, _ = _ans_sizes(freq)
     start, freq, words = np.concatenate([[0], np.cumsum(freq)]).tolist(), freq.tolist(), []
     for s in reversed(symbols):
         f = freq[s]
@@ -303,6 +310,87 @@ def ans_round_trip(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("key").applyInPandas(run, "key long, n long, alphabet long, words long, exact boolean")
 
 
+def _ans_streams(ids: np.ndarray, length: np.ndarray, freqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each stream, and whether it comes back: ans_encode() and ans_decode() of streams that follow each other, longest first, all with tables of 12 bits.
+
+    A step takes one symbol of every stream that has it; what the FEW longest have beyond the others goes symbol by symbol.
+    """
+    bits, low, first = _ans_sizes(freqs[0])
+    begin = np.cumsum(length) - length
+    table = np.cumsum([0, *(len(f) for f in freqs)])[:-1].astype("i4")
+    freq, start = np.concatenate(freqs).astype("i8"), np.concatenate([np.cumsum(f) - f for f in freqs]).astype("i8")
+    of = np.repeat(np.arange(len(freq), dtype="i4"), freq)
+    slots = np.arange(len(length)) << bits
+    state = np.full(len(length), first, "i8")
+    words, room = np.empty(len(ids), "u2"), begin  # a symbol gives a word at most
+    held = room.copy()
+    together = int(length[FEW]) if len(length) > FEW else 0
+    alone = range(int(np.searchsorted(-length, -together, "left")))
+    width = np.searchsorted(-length, -np.arange(together), "left")
+    ends = np.cumsum(width)
+    stream = np.arange(ends[-1] if together else 0, dtype="i4") - np.repeat((ends - width).astype("i4"), width)
+    turned = table[stream] + ids[begin[stream] + np.repeat(np.arange(together, dtype="i4"), width)].astype("i4")  # by step, then by stream
+    for k in alone:
+        last, more = _ans_put(ids[begin[k] + together : begin[k] + length[k]].tolist(), freqs[k], first)
+        words[held[k] : held[k] + len(more)] = more
+        held[k] += len(more)
+        state[k] = last
+    for n, end in zip(width[::-1].tolist(), ends[::-1].tolist(), strict=True):
+        c = turned[end - n : end]
+        f, x = freq[c], state[:n]
+        full = np.flatnonzero(x >= f << (low + 16 - bits))
+        if len(full):
+            over, at = x[full], held[full]
+            words[at] = over & 0xFFFF
+            held[full] = at + 1
+            x[full] = over >> 16
+        q = x // f
+        state[:n] = x + start[c] + q * ((1 << bits) - f)  # q << bits, and the remainder
+    found, same = held - room, np.ones(len(length), bool)
+    for n, end in zip(width.tolist(), ends.tolist(), strict=True):
+        x = state[:n]
+        slot = x & ((1 << bits) - 1)
+        c = of[slots[:n] + slot]
+        same[:n] &= c == turned[end - n : end]
+        x = freq[c] * (x >> bits) + slot - start[c]
+        short = np.flatnonzero(x < 1 << low)
+        if len(short):
+            at = held[short] - 1
+            held[short] = at
+            x[short] = x[short] << 16 | words[at]
+        state[:n] = x
+    for k in alone:
+        own = ids[begin[k] + together : begin[k] + length[k]].tolist()
+        back, state[k] = ans_decode(int(state[k]), words[room[k] : held[k]].tolist(), len(own), freqs[k]) if same[k] else ([], 0)
+        held[k] = room[k]
+        same[k] &= back == own
+    return found, same & (state == first) & (held == room)
+
+
+def _ans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for names, length, s in _held(batches, HELD):
+        ends = np.cumsum(length).tolist()
+        order = np.argsort(-length, kind="stable").tolist()
+        parts = [_alphabet(s[ends[k] - length[k] : ends[k]])[1] for k in order]
+        freqs = [normalized(c := np.bincount(p), 1 << max(12, len(c).bit_length())) for p in parts]
+        usual = [k for k, f in enumerate(freqs) if len(f) < 1 << 12]
+        rows = {}
+        if usual:
+            words, exact = _ans_streams(np.concatenate([parts[k] for k in usual]), length[order][usual], [freqs[k] for k in usual])
+            rows = dict(zip(usual, zip(words.tolist(), exact.tolist(), strict=True), strict=True))
+        for k in rows.keys() ^ range(len(parts)):  # larger tables
+            state, words = ans_encode(own := parts[k].tolist(), freqs[k])
+            back, last = ans_decode(state, words, len(own), freqs[k])
+            rows[k] = len(words), back == own and last == _ans_sizes(freqs[k])[2]
+        columns = [[names[j] for j in order], [len(p) for p in parts], [len(f) for f in freqs], *zip(*(rows[k] for k in range(len(parts))), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], ["key", "n", "alphabet", "words", "exact"])
+
+
+def ans_round_trip_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """ans_round_trip() of the characters of each text, in the task that reads it; no row is dealt."""
+    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(_ans, "key long, n long, alphabet long, words long, exact boolean")
+
+
 def lehmer(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Lehmer digits of a permutation: later elements that are smaller. In each group's array; groups are small (a frame's sections)."""
     line = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("s"))

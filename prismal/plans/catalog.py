@@ -330,7 +330,7 @@ def huffman_codes(spark, d):
 
 @query()
 def ans_round_trip(spark, d):
-    return symbols.ans_round_trip(stream(spark, d))
+    return symbols.ans_round_trip_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""WITH o AS (SELECT o_custkey AS g, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)

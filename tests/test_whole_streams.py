@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def odd(spark):
     return spark.createDataFrame(ODD, "t string, key long").coalesce(1)
 
 
-@pytest.mark.parametrize(("name", "held"), [("move_to_front_texts", 0)])
+@pytest.mark.parametrize(("name", "held"), [("move_to_front_texts", 0), ("ans_round_trip", 0)])
 def test_texts_are_coded_where_they_are_read(spark, name, held):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == held
@@ -57,3 +58,28 @@ def test_move_to_front_of_odd_texts(spark):
     ids = np.random.default_rng(2).integers(0, 9, 3000) ** 2
     whole = symbols._front_pieces(ids, np.array([1, 2000, 999]), 65)
     assert whole.tolist() == [x for a, b in ((0, 1), (1, 2001), (2001, 3000)) for x in symbols._front_list(ids[a:b].tolist())]
+
+
+@pytest.mark.parametrize("few", [0, 3, 10_000])
+def test_ans_of_odd_texts(spark, monkeypatch, few):
+    """Streams side by side give what each gives alone, whatever is left to go symbol by symbol."""
+    monkeypatch.setattr(symbols, "FEW", few)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for _, k in ODD], pa.int64()), pa.array([t for t, _ in ODD])], ["key", "t"])
+    rows = [tuple(r.values()) for b in symbols._ans(iter([batch])) for r in b.to_pylist()]
+    want = []
+    for t, key in ODD:
+        if t:
+            names, ids = np.unique([ord(c) for c in t], return_inverse=True)
+            freq = symbols.normalized(np.bincount(ids), 1 << max(12, len(names).bit_length()))
+            want.append((key, len(t), len(names), len(symbols.ans_encode(ids.tolist(), freq)[1]), True))
+    assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def test_a_stream_that_does_not_come_back_is_told(monkeypatch):
+    monkeypatch.setattr(symbols, "FEW", 0)
+    ids, freq = np.arange(3000) % 7, symbols.normalized(np.bincount(np.arange(3000) % 7))
+    assert symbols._ans_streams(ids, np.array([3000]), [freq])[1].all()
+    bad = freq.copy()
+    bad[0] = 0  # a symbol without a share of the table
+    with np.errstate(all="ignore"):
+        assert not symbols._ans_streams(ids, np.array([3000]), [bad])[1].any()
