@@ -58,7 +58,14 @@ def centres(hist: DataFrame, k: int, distinct: float = DISTINCT) -> DataFrame:
 
 
 def fast(hist: DataFrame, k: int, distinct: float = DISTINCT) -> DataFrame:
-    """ctx, cluster: each histogram under the nearest of at most k centres."""
+    """ctx, cluster: each histogram under the nearest of at most k centres. hist is worked out once."""
+    hist = written(hist, "histograms")
+    assigned = written(_nearest(hist, k, distinct), "assigned")
+    forget(hist)
+    return assigned
+
+
+def _nearest(hist: DataFrame, k: int, distinct: float) -> DataFrame:
     found = centres(hist, k, distinct)
     far = distances(hist, hist.join(F.broadcast(found), "ctx").select(F.col("place").cast("string").alias("ctx"), "sym", "n"))
     own = far.join(F.broadcast(found), "ctx", "left").withColumn("distance", F.when(F.col("place") == F.col("centre").cast("long"), F.lit(-1.0)).otherwise(F.col("distance")))
@@ -86,7 +93,7 @@ def _gains(pairs: DataFrame, hist: DataFrame, costs: DataFrame) -> DataFrame:
 
 def best(hist: DataFrame, k: int, distinct: float = DISTINCT) -> DataFrame:
     """ctx, cluster: fast(), then merges of clusters while they lower the total cost; clusters are named by their least member's place."""
-    assigned = written(fast(hist, k, distinct), "assigned")
+    assigned = fast(hist, k, distinct)
     held = written(hist.join(assigned, "ctx").groupBy("cluster", "sym").agg(F.sum("n").alias("n")), "cluster-histograms")
     names = held.select("cluster").distinct()
     last = F.lit(k - 1).cast("long")

@@ -43,6 +43,21 @@ def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
         yield pack()
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for names, length, s in _held(batches, 1 << 21):
+        known = {n: k for k, n in enumerate(dict.fromkeys(names))}
+        used, ids = _alphabet(s)
+        n = np.bincount(np.repeat(np.array([known[x] for x in names]), length) * len(used) + ids, minlength=len(known) * len(used))
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()).take(pa.array(at // len(used))), pa.array(used[at % len(used)].astype("i8")), pa.array(n[at])], ["ctx", "sym", "n"])
+
+
+def text_histogram(df: DataFrame, context: str, text: str) -> DataFrame:
+    """histogram() of of_text(): characters are counted inside tasks, and only counts are dealt."""
+    found = df.select(F.col(context).cast("string"), F.col(text).cast("string")).mapInArrow(_counts, "ctx string, sym long, n long")
+    return found.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+
+
 def _alphabet(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct symbols in order, and the place of each symbol among them."""
     on = np.zeros(int(s.max()) + 1, bool)

@@ -120,7 +120,7 @@ def _fast_ctes(k: int) -> str:
 
 @query(f"WITH {HIST}, {_fast_ctes(2)} SELECT ctx, cluster FROM assigned")
 def histogram_clusters(spark, d):
-    return clusters.fast(symbols.histogram(symbols.of_text(table(spark, d, "documents"), "doc_id", "lang", "text")), 2)
+    return clusters.fast(symbols.text_histogram(table(spark, d, "documents"), "lang", "text"), 2)
 
 
 K, ROUNDS = 6, 5

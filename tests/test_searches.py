@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from prismal.operators import blobs, clusters, tree_search, trees, weighted
+from prismal.operators import blobs, clusters, symbols, tree_search, trees, weighted
 
 
 def one_by_one(v):
@@ -141,3 +141,21 @@ def test_tree_search_finds_the_planted_tests(spark):
     assert not trees.check(tree)
     assert (tree.prop, tree.value) == ("p", 3) and (tree.other.prop, tree.other.value) == ("q", 5)
     assert (tree.more.predictor, tree.other.more.predictor, tree.other.other.predictor) == ("a", "b", "c")
+
+
+def test_histograms_are_worked_out_once(spark):
+    """However many centres are sought, and equal to those of the exploded characters."""
+    times = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        times.add(1)
+        yield from batches
+
+    rows = [(k, f"c{k % 5}" if k != 2 else None, t) for k, t in enumerate(["", None, "abc\n", "é中🙂🙂", "a" * 500, *("bcd" * k + "ef" * (40 - k) for k in range(40))])]
+    docs = spark.createDataFrame(rows, "id long, ctx string, t string").coalesce(1)
+    hist = symbols.text_histogram(docs.mapInArrow(counted, "id long, ctx string, t string"), "ctx", "t")
+    want = symbols.histogram(symbols.of_text(docs, "id", "ctx", "t")).collect()
+    assert sorted(hist.collect(), key=str) == sorted(want, key=str)
+    before = times.value
+    assert clusters.fast(hist, 4).count() == 6
+    assert times.value == before + 1
