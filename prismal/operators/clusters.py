@@ -93,8 +93,10 @@ def _gains(pairs: DataFrame, hist: DataFrame, costs: DataFrame) -> DataFrame:
 
 def best(hist: DataFrame, k: int, distinct: float = DISTINCT) -> DataFrame:
     """ctx, cluster: fast(), then merges of clusters while they lower the total cost; clusters are named by their least member's place."""
-    assigned = fast(hist, k, distinct)
+    hist = written(hist, "histograms")
+    assigned = written(_nearest(hist, k, distinct), "assigned")
     held = written(hist.join(assigned, "ctx").groupBy("cluster", "sym").agg(F.sum("n").alias("n")), "cluster-histograms")
+    forget(hist)
     names = held.select("cluster").distinct()
     last = F.lit(k - 1).cast("long")
     pairs = names.filter(F.col("cluster") < last).select(F.col("cluster").alias("a"), F.explode(F.sequence(F.col("cluster") + 1, last)).alias("b"))  # k (k - 1) / 2 at most

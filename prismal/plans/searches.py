@@ -90,7 +90,7 @@ def tree_learned(spark, d):
 
 def source_histograms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("ctx", F.concat_ws(":", "source", "lang"))
-    return symbols.histogram(symbols.of_text(docs, "doc_id", "ctx", "text"))
+    return symbols.text_histogram(docs, "ctx", "text")
 
 
 def _f(n: str) -> str:
