@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from prismal.functions.scalar import div
 
 
-def from_arrays(df: DataFrame, img: str, order: str, values: str, scale: int = 1000) -> DataFrame:
-    """A plane per img: each row's array is a line of samples, lines in the order given; samples scaled and rounded."""
+def lines(df: DataFrame, img: str, order: str, values: str) -> DataFrame:
+    """img, y, s: each row's array is a line of a plane per img, lines in the order given."""
     line = F.row_number().over(Window.partitionBy(img).orderBy(order)) - 1
-    lines = df.select(F.col(img).cast("long").alias("img"), line.cast("long").alias("y"), F.col(values).alias("s"))
-    return lines.select("img", "y", F.posexplode("s").alias("x", "e")).select("img", "y", F.col("x").cast("long").alias("x"), F.round(F.col("e").cast("double") * scale).cast("long").alias("v"))
+    return df.select(F.col(img).cast("long").alias("img"), line.cast("long").alias("y"), F.col(values).alias("s"))
+
+
+def from_arrays(df: DataFrame, img: str, order: str, values: str, scale: int = 1000) -> DataFrame:
+    """A plane per img from lines(); samples scaled and rounded."""
+    return lines(df, img, order, values).select("img", "y", F.posexplode("s").alias("x", "e")).select("img", "y", F.col("x").cast("long").alias("x"), F.round(F.col("e").cast("double") * scale).cast("long").alias("v"))
 
 
 def neighbours(plane: DataFrame) -> DataFrame:

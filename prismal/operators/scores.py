@@ -2,16 +2,22 @@
 
 At each of up to six scales, halved in linear light, both pictures become three positive opponent channels; blurred means, squares and products
 give a structural error a sample, and the differences from the means give errors of edges that were added and of detail that was lost. Each
-map is pooled by its mean and by its fourth norm, and the norms are weighed. All pictures of a table go through a scale at once; a
-scale's fifteen planes a picture share one blur.
+map is pooled by its mean and by its fourth norm, and the norms are weighed. All pictures of a table go through a scale at once, dealt
+once by tiles, which also hold the strips around them that the blur's kernel reaches; only sums leave a tile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.functions.colour import to_xyb
+from prismal.functions.colour import ABSORBANCE, BIAS
 from prismal.operators import blur
 from prismal.tables import forget, written
 
@@ -38,13 +44,76 @@ WEIGHTS = (
     0.0, 0.0, 0.0, 0.0005130064588990679, 0.0, 0.00010854057858411537,
 )
 CURVE = (0.9562382616834844, 2.326765642916932, -0.020884521182843837, 6.248496625763138e-05, 10.0, 0.6276336467831387)
-KINDS = ("a", "b", "aa", "bb", "ab")
+COLORS = ("r1", "g1", "b1", "r2", "g2", "b2")
+SUMS = tuple(f"{m}_{p}" for m in ("structure", "added", "lost") for p in (1, 4))
+#: Samples along a side of a tile.
+TILE = 128
 
 
-def positive(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+def positive(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """X, Y and B - Y of linear RGB, shifted and stretched to 0 .. 1."""
-    x, y, blue = to_xyb(r, g, b)
-    return x * 14.0 + 0.42, y + 0.01, blue - y + 0.55
+    low = BIAS ** (1 / 3.0)
+    long, middle, short = (np.cbrt(np.maximum(m[0] * r + m[1] * g + m[2] * b + BIAS, 0)) - low for m in ABSORBANCE)
+    y = (long + middle) * 0.5
+    return (long - middle) * 0.5 * 14.0 + 0.42, y + 0.01, short - y + 0.55
+
+
+def _blurred(v: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """A tile, with the strips around it that the kernel needs, blurred along both axes; the strips go."""
+    for axis in (-1, -2):
+        n = v.shape[axis] - len(taps) + 1
+        v = sum(w * v.take(range(k, k + n), axis) for k, w in enumerate(taps))
+    return v
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[str, np.ndarray]]]:
+    """Rows sorted by img and tile: the columns of one tile after the other."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[dict, dict[str, np.ndarray]]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        return {c: rows[c][0].as_py() for c in ("img", "ty", "tx", "w", "h")}, {c: rows[c].to_numpy() for c in ("y", "x", *COLORS)}
+
+    for b in batches:
+        keys = np.array([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("img", "ty", "tx")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for begin, end in pairwise(cuts):
+            part = b.slice(begin, end - begin)
+            if held and part.num_rows and any(held[0][c][0] != part[c][0] for c in ("img", "ty", "tx")):
+                yield whole()
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield whole()
+
+
+def _maps(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
+    """Sums over the samples of a tile: img, w, h, c, n and six sums of its maps."""
+    taps = np.array(blur.kernel(SIGMA))
+    edge = len(taps) // 2
+    for at, rows in _tiles(batches):
+        top, left = at["ty"] * tile, at["tx"] * tile
+        high, wide = min(tile, at["h"] - top), min(tile, at["w"] - left)
+        y, x = rows["y"] - top + edge, rows["x"] - left + edge
+        light = {}
+        there = np.zeros((high + 2 * edge, wide + 2 * edge))
+        there[y, x] = 1
+        for c in COLORS:
+            light[c] = np.zeros(there.shape)
+            light[c][y, x] = rows[c]
+        # beyond the ends of the picture there are zeros
+        first, second = ([v * there for v in positive(*(light[f"{c}{k}"] for c in "rgb"))] for k in (1, 2))
+        inner = (slice(edge, edge + high), slice(edge, edge + wide))
+        on = there[inner] > 0
+        out = []
+        for c, (a, b) in enumerate(zip(first, second, strict=True)):
+            m1, m2, aa, bb, ab = _blurred(np.array([a, b, a * a, b * b, a * b]), taps)
+            shape = (2 * (ab - m1 * m2) + C2) / (aa - m1 * m1 + bb - m2 * m2 + C2)
+            change = (1 + np.abs(b[inner] - m2)) / (1 + np.abs(a[inner] - m1)) - 1
+            maps = (np.maximum(1 - (1 - (m1 - m2) ** 2) * shape, 0), np.maximum(change, 0), np.maximum(-change, 0))
+            out.append([at["img"], at["w"], at["h"], c, int(on.sum()), *(float((m[on] if p == 1 else np.square(np.square(m[on]))).sum()) for m in maps for p in (1, 4))])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["img", "w", "h", "c", "n", *SUMS])
 
 
 def halved(pictures: DataFrame) -> DataFrame:
@@ -53,46 +122,35 @@ def halved(pictures: DataFrame) -> DataFrame:
     share = twice("x", "w") * twice("y", "h") / 4.0
     half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
     size = lambda c: F.floor((F.max(c) + 1) / 2).cast("long").alias(c)
-    return pictures.groupBy("img", half("y"), half("x")).agg(size("w"), size("h"), *(F.sum(F.col(c) * share).alias(c) for c in ("r1", "g1", "b1", "r2", "g2", "b2")))
+    return pictures.groupBy("img", half("y"), half("x")).agg(size("w"), size("h"), *(F.sum(F.col(c) * share).alias(c) for c in COLORS))
 
 
-def _errors(pictures: DataFrame, block: int) -> DataFrame:
+def _errors(pictures: DataFrame, tile: int) -> DataFrame:
     """img, c and six pooled errors of one scale."""
-    first, second = positive(*(F.col(c) for c in ("r1", "g1", "b1"))), positive(*(F.col(c) for c in ("r2", "g2", "b2")))
-    channels = F.array(*(F.struct(F.lit(c).alias("c"), first[c].alias("a"), second[c].alias("b")) for c in range(3)))
-    each = written(pictures.select("img", "y", "x", F.explode(channels).alias("e")).select("img", "y", "x", "e.*"), "channels")
-    values = {"a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b"), "ab": F.col("a") * F.col("b")}
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), values[n].alias("v")) for k, n in enumerate(KINDS)))
-    long = each.select((F.col("img") * 3 + F.col("c")).alias("plane"), "y", "x", F.explode(kinds).alias("e"))
-    soft = blur.plane(long.select((F.col("plane") * 5 + F.col("e.kind")).alias("img"), "y", "x", "e.v"), SIGMA, block)
-    place = F.floor(F.col("img") / 5).cast("long")
-    pick = lambda k: F.max(F.when(F.pmod("img", F.lit(5)) == k, F.col("v")))
-    wide = soft.groupBy(place.alias("plane"), "y", "x").agg(*(pick(k).alias(f"m_{n}") for k, n in enumerate(KINDS)))
-    joined = each.withColumn("plane", F.col("img") * 3 + F.col("c")).join(wide, ["plane", "y", "x"])
-    a, b, m1, m2 = (F.col(c) for c in ("a", "b", "m_a", "m_b"))
-    light = 1 - (m1 - m2) * (m1 - m2)
-    shape = (2 * (F.col("m_ab") - m1 * m2) + C2) / (F.col("m_aa") - m1 * m1 + F.col("m_bb") - m2 * m2 + C2)
-    edge = (1 + F.abs(b - m2)) / (1 + F.abs(a - m1)) - 1
-    zero = F.lit(0.0)
-    maps = {"structure": F.greatest(1 - light * shape, zero), "added": F.greatest(edge, zero), "lost": F.greatest(-edge, zero)}
-    pooled = [x for n, m in maps.items() for x in (F.avg(m).alias(f"{n}_1"), F.pow(F.avg(m * m * m * m), 0.25).alias(f"{n}_4"))]
-    out = written(joined.groupBy("img", "c").agg(*pooled), "scale-errors")
-    forget(each)
-    return out
-
-
-def score(pictures: DataFrame, block: int = blur.BLOCK) -> DataFrame:
+    edge = len(blur.kernel(SIGMA)) // 2
+    # a sample goes to its tile, and to those that have it in their strips
+    last = lambda n: F.floor((F.col(n) - 1) / tile)
+    tiles = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - edge) / tile)), F.least(last(n), F.floor((F.col(c) + edge) / tile))).cast("array<long>"))
+    filed = pictures.withColumn("ty", tiles("y", "h")).withColumn("tx", tiles("x", "w"))
+    dealt = filed.repartition("img", "ty", "tx").sortWithinPartitions("img", "ty", "tx").select("img", "ty", "tx", "w", "h", "y", "x", *COLORS)
+    sums = dealt.mapInArrow(partial(_maps, tile=tile), f"img long, w long, h long, c long, n long, {', '.join(f'{n} double' for n in SUMS)}")
+    mean = lambda n: F.sum(n) / F.sum("n")
+    return sums.groupBy("img", "c").agg(*((F.pow(mean(n), 0.25) if n.endswith("4") else mean(n)).alias(n) for n in SUMS))
+
+
+def score(pictures: DataFrame, tile: int = TILE) -> DataFrame:
     """img, scales, error (the weighed sum) and score of pairs of pictures: img, y, x, r1, g1, b1, r2, g2, b2 in linear light, 0 to 1."""
     sizes = pictures.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    now = written(pictures.join(sizes, "img"), "pictures")
-    found = None
+    large = "w >= 8 and h >= 8"
+    now, found = written(pictures.join(sizes, "img").filter(large), "pictures"), None
     for scale in range(SCALES):
-        large = written((halved(now.filter("w >= 8 and h >= 8")) if scale else now.filter("w >= 8 and h >= 8")), "pictures")
-        forget(now)
-        now = large
+        if scale:
+            smaller = written(halved(now.filter(large)), "pictures")
+            forget(now)
+            now = smaller
         if now.isEmpty():
             break
-        errors = _errors(now, block).withColumn("scale", F.lit(scale))
+        errors = written(_errors(now, tile), "scale-errors").withColumn("scale", F.lit(scale))
         found = errors if found is None else found.union(errors)
     if found is None:
         return pictures.sparkSession.createDataFrame([], "img long, scales long, error double, score double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismal.functions.colour import ABSORBANCE, BIAS
-from prismal.operators import alias, blur, matches, scores, smoothing, splines
+from prismal.operators import alias, blur, matches, planes, scores, smoothing, splines
 from prismal.plans.catalog import HIST, PLANE, plane, query, table
 from prismal.plans.searches import source_histograms
 from prismal.streaming import sessions
@@ -18,10 +18,11 @@ CHANNELS = "channels AS (SELECT a.img, a.y, a.x, a.v / 1000.0::DOUBLE AS v0, b.v
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
-    each = plane(spark, d)
-    turned = F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.pmod(F.col("x") - t, F.lit(64)).alias("at")) for k, t in enumerate(TURNS)))).alias("e")
-    rows = each.select("img", "y", "v", turned)
-    return rows.groupBy("img", "y", F.col("e.at").alias("x")).agg(*(F.max(F.when(F.col("e.c") == k, F.col("v") / 1000.0)).alias(f"v{k}") for k in range(3)))
+    """All channels of a sample are in the array of its line, so nothing is dealt but the lines."""
+    each = planes.lines(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("img", "y", "s", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
+    at = [F.pmod(F.col("x") + t, F.lit(64)) for t in TURNS]
+    values = [(F.round(F.get("s", k).cast("double") * 1000).cast("long") / 1000.0).alias(f"v{c}") for c, k in enumerate(at)]
+    return each.filter(F.least(*at) < F.size("s")).select("img", "y", F.col("x").cast("long").alias("x"), *values)
 
 
 # ---- blur

@@ -84,6 +84,27 @@ def test_equal_pictures_score_a_hundred_and_noise_lowers_it(spark):
     assert set(found) == {0, 1, 2} and found[0].scales == 3
 
 
+@pytest.mark.parametrize("tile", [8, 16, 128])
+def test_tiles_of_a_score_equal_whole_planes(spark, tile):
+    """Sums of tiles with strips are those of planes blurred whole; samples are dealt once a scale, not once a plane, axis and block."""
+    draw = np.random.default_rng(tile)
+    shapes = {0: (19, 33), 1: (8, 8), 2: (40, 9)}
+    planes = {img: draw.random((6, *shape)) for img, shape in shapes.items()}
+    rows = [(img, y, x, shape[1], shape[0], *map(float, planes[img][:, y, x])) for img, shape in shapes.items() for y, x in itertools.product(*map(range, shape))]
+    df = spark.createDataFrame(rows, "img long, y long, x long, w long, h long, r1 double, g1 double, b1 double, r2 double, g2 double, b2 double").repartition(3)
+    errors = scores._errors(df, tile)
+    got = {(r.img, r.c): r for r in errors.collect()}
+    assert len(got) == 9 and errors._jdf.queryExecution().executedPlan().toString().count("Exchange REPARTITION") <= 1
+    soft = lambda v: np.apply_along_axis(blur.sequential, 0, np.apply_along_axis(blur.sequential, 1, v, scores.SIGMA), scores.SIGMA)
+    for img in shapes:
+        for c, (a, b) in enumerate(zip(scores.positive(*planes[img][:3]), scores.positive(*planes[img][3:]), strict=True)):
+            m1, m2, aa, bb, ab = map(soft, (a, b, a * a, b * b, a * b))
+            structure = np.maximum(1 - (1 - (m1 - m2) ** 2) * (2 * (ab - m1 * m2) + scores.C2) / (aa - m1 * m1 + bb - m2 * m2 + scores.C2), 0)
+            edge = (1 + abs(b - m2)) / (1 + abs(a - m1)) - 1
+            want = [x for m in (structure, np.maximum(edge, 0), np.maximum(-edge, 0)) for x in (m.mean(), (m**4).mean() ** 0.25)]
+            assert np.allclose([got[img, c][n] for n in scores.SUMS], want)
+
+
 def longest(s, i, window, chain):
     """The longest match of a place among the nearest places that begin alike."""
     best, tried = (0, 0), 0
