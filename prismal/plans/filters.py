@@ -127,9 +127,9 @@ def picture_scores(spark, d):
 @query("SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
 def lz77_round_trip(spark, d):
     docs = table(spark, d, "documents")
-    back = matches.texts(matches.tokens(docs, "doc_id", "text"))
-    joined = docs.select("doc_id").join(back, F.col("doc_id") == F.col("key"), "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    back = matches.texts(matches.tokens(docs, "doc_id", "text"), together=True).withColumnRenamed("key", "doc_id")
+    empty = docs.filter(F.coalesce("text", F.lit("")) == "").select("doc_id", F.lit("").alias("text"))  # no tokens
+    return back.union(empty).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 # ---- alias tables

@@ -147,6 +147,33 @@ def test_texts_come_back(spark, monkeypatch):
     assert matches.expanded(*([t[k] for t in tokens] for k in (1, 2, 3))) == texts[6][:5000]
 
 
+def test_texts_side_by_side_are_parsed_as_alone(spark, monkeypatch):
+    """A batch of texts gives the tokens of each, whichever are left to go alone, and texts come back without being dealt, with keys that repeat or are missing."""
+    draw = random.Random(4)
+    texts = ["", None, "a", "ab", "x" * 3000, *("".join(draw.choices("ab é🙂", k=draw.randrange(400))) * draw.randrange(1, 4) for _ in range(40))]
+    keys = [draw.choice([None, 1, 2, 3]) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], ["key", "t"])
+    monkeypatch.setattr(matches, "SEGMENT", 700)
+    monkeypatch.setattr(matches, "AHEAD", 40)
+    want = []
+    for key, t in zip(keys, texts, strict=True):
+        s = np.frombuffer((t or "").encode("utf-32-le"), "<u4")
+        want += [(key, *token) for token in matches.parsed(s, 100, 4)]
+    for few, together in ((0, 1 << 22), (7, 2000), (1000, 1)):
+        monkeypatch.setattr(matches, "FEW", few)
+        monkeypatch.setattr(matches, "TOGETHER", together)
+        got = list(matches._tokens(iter([batch]), 100, 4))
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+        for size in (3, 1 << 16):
+            rows = [b.slice(k, size) for b in got for k in range(0, len(b), size)]
+            back = [(r["key"], r["text"]) for b in matches._texts(iter(rows)) for r in b.to_pylist()]
+            assert back == [(k, t) for k, t in zip(keys, texts, strict=True) if t]
+    odd = spark.createDataFrame(list(zip(keys, texts, strict=True)), "id long, t string")
+    found = matches.texts(matches.tokens(odd, "id", "t"), together=True)
+    assert sorted(((r.key, r.text) for r in found.collect()), key=str) == sorted(((k, t) for k, t in zip(keys, texts, strict=True) if t), key=str)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alias_tables_give_each_symbol_its_count(spark):
     draw = random.Random(2)
     hists = {"one": {5: 9}, "two": {1: 1, 2: 10_000}, "flat": {k: 16 for k in range(256)}, "many": {k: draw.randrange(1, 900) for k in range(120)}, "over": {k: 1 for k in range(300)}}
