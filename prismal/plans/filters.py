@@ -248,5 +248,6 @@ UNION ALL SELECT user_id, n, event_id, CASE WHEN duration = 0 OR save > 0 THEN l
 SELECT user_id AS session, event_id AS id, visible, hidden, canvas, '[' || array_to_string(slots, ', ') || ']' AS slots, false AS late FROM r WHERE n > 0""")
 def stream_session_slots(spark, d):
     """The events arrive in files out of order; the rows are those of a batch in order."""
-    folder = sessions.arrived(session_frames(spark, d), 5)
-    return sessions.run(spark, folder, sessions.SCHEMA, "15 days").filter("session >= 0")
+    files = spark.sparkContext.defaultParallelism
+    folder = sessions.arrived(session_frames(spark, d), 5, files)
+    return sessions.run(spark, folder, sessions.SCHEMA, "15 days", files).filter("session >= 0")

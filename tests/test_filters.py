@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,36 @@ def test_sessions_of_a_stream_equal_a_batch(spark):
         for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], r[2])):
             want[r[2]] = (session.draw(*r[3:]), session.visible, session.hidden, str(session.slots))
     assert {r.id: (r.canvas, r.visible, r.hidden, r.slots) for r in found} == want and not any(r.late for r in found)
+
+
+def test_a_bucket_holds_many_sessions():
+    """One call draws the frames of all its sessions, and its state goes on where it ended; frames without a value leave none."""
+
+    class State:
+        exists, get, timer, passed = False, None, None, 0
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.timer = at
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return self.passed
+
+    draw = random.Random(12)
+    modes = ("add", "replace", "keep")
+    frames = [(draw.randrange(50), draw.randrange(1000), k, draw.choice(modes), draw.randrange(4), draw.randrange(4), draw.randrange(2), draw.choice([None, *range(-50, 50)])) for k in range(2000)]
+    state, out = State(), []
+    for state.passed, part in ((0, frames[:900]), (0, frames[900:]), (500, []), (700, []), (2000, [(3, 5, -1, "add", 0, 0, 1, 7)])):
+        rows = pd.DataFrame(part, columns=["session", *sessions.COLUMNS])
+        for found in sessions.step((0,), iter([rows] if part else []), state):
+            out += found.itertuples(index=False, name=None)
+        assert state.timer is None or state.timer > state.passed or state.passed == 2000
+    held = {k: sessions.Session() for k in range(50)}
+    want = {}
+    for s, _, name, *rest in sorted(frames, key=lambda r: r[:3]):
+        canvas = held[s].draw(*rest)
+        want[name] = (s, held[s].visible, held[s].hidden, canvas, held[s].text(), False)
+    assert {r[1]: (r[0], *r[2:4], None if pd.isna(r[4]) else r[4], *r[5:]) for r in out if r[1] >= 0} == want
+    assert [(r[0], r[6]) for r in out if r[1] < 0] == [(3, True)] and len(out) == len(frames) + 1
