@@ -2,10 +2,14 @@
 
 import itertools
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from prismal.operators import metrics, patches, regions, transforms
+from prismal.plans import blocks, catalog
 
 
 def test_blocks_of_any_size_transform_and_come_back(spark):
@@ -64,3 +68,19 @@ def test_patches_lie_in_order_and_end_at_borders(spark):
                 want[img, y, x] = top if mode == "replace" else v + top if mode == "add" else round(v * top / 1000)
     found = patches.overlay(planes, planes.withColumnRenamed("img", "ref"), df, 4).collect()
     assert {(r.img, r.y, r.x): r.v for r in found} == want and len(found) == len(cells)
+
+
+def test_var_ints_of_keys_end_where_those_of_the_sql_do(spark, tmp_path):
+    """Up to the greatest key whose number fits 64 bits both agree; one key on both refuse it, and no number is made up."""
+    out = {}
+    for name, keys in (("fits", [0, 1, 3_036_995]), ("over", [1, 3_036_996])):
+        spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/{name}/orders.parquet/*.parquet'")
+        out[name] = lambda con=con: con.sql(catalog.ORACLES["var_ints_wide"]).fetchall()
+    found = blocks.var_ints_wide(spark, f"{tmp_path}/fits").collect()
+    assert sorted(map(tuple, found)) == sorted(out["fits"]())
+    with pytest.raises(duckdb.OutOfRangeException):
+        out["over"]()
+    with pytest.raises(ArithmeticException):
+        blocks.var_ints_wide(spark, f"{tmp_path}/over").collect()
